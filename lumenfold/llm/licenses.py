@@ -48,8 +48,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 #: A line with one of these may belong to a notice.
 TRIGGER = r"(?i)licen[cs]e|copyright|permission|permitted|redistribut|warrant|liable|public domain|\bas is\b|free software|creative commons|spdx"
-#: Lines without a trigger that may lie inside a block, and words of a block looked at together.
-GAP_LINES, BLOCK_WORDS = 3, 2_000
+#: Lines without a trigger that may lie inside a block and that the wider form takes in on both sides; words of a block looked at together.
+GAP_LINES, AROUND_LINES, BLOCK_WORDS = 4, 10, 2_000
+#: A template of fewer words has to stand in the block without any difference.
+SHORT_WORDS = 40
 _trigger, _word = re.compile(TRIGGER), re.compile(r"[^\W_]+")
 
 
@@ -58,8 +60,10 @@ def words_of(text: str) -> list[str]:
 
 
 def blocks(text: str, step: int) -> Iterator[tuple[int, int, str]]:
-    """(first line, line after the last, text) of each candidate block.  Long blocks
-    come in parts that overlap by ``step`` words, so a notice lies whole in one."""
+    """(first line, line after the last, text) of each candidate block: runs of lines
+    with triggers, and the same with the lines around, where a notice may begin or
+    end.  Long blocks come in parts that overlap by ``step`` words, so a notice lies
+    whole in one."""
     lines = text.split("\n")
     runs: list[list[int]] = []
     for i, line in enumerate(lines):
@@ -68,7 +72,8 @@ def blocks(text: str, step: int) -> Iterator[tuple[int, int, str]]:
                 runs[-1][1] = i + 1
             else:
                 runs.append([i, i + 1])
-    for a, b in runs:
+    wider = [[max(0, a - AROUND_LINES), min(len(lines), b + AROUND_LINES)] for a, b in runs]
+    for a, b in [x for pair in zip(runs, wider) for x in (pair if pair[0] != pair[1] else pair[:1])]:
         block = "\n".join(lines[a:b])
         spans = [m.span() for m in _word.finditer(block)]
         if len(spans) <= BLOCK_WORDS:
@@ -111,16 +116,18 @@ class Scanner:
             if gain < self.least or name in out:
                 continue
             missing, between = wording(words, own)
-            if missing + between <= self.most * n:
+            if missing + between <= (self.most * n if n >= SHORT_WORDS else 0):
                 out[name] = (name, gain, missing, between)
         return list(out.values())
 
     def text(self, text: str) -> list[dict]:
-        return [
-            {"license": name, "first_line": a, "last_line": b - 1, "reduction": gain, "missing": missing, "between": between}
-            for a, b, part in blocks(text, self.step)
-            for name, gain, missing, between in self.block(part)
-        ]
+        """The confirmed licenses; one that several blocks over the same lines hold is named once."""
+        out: list[dict] = []
+        for a, b, part in blocks(text, self.step):
+            for name, gain, missing, between in self.block(part):
+                if not any(m["license"] == name and m["first_line"] < b and a <= m["last_line"] for m in out):
+                    out.append({"license": name, "first_line": a, "last_line": b - 1, "reduction": gain, "missing": missing, "between": between})
+        return out
 
 
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("reduction", pa.float64()), ("missing", pa.int32()), ("between", pa.int32())]))
@@ -131,8 +138,8 @@ def scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     reduction, and the words missing and between.
 
     ``top`` templates by reduction are checked for their wording; ``max_difference``
-    bounds the differing words as a part of the template's, so a short statement has
-    to stand as it is.  A null or empty text and a text without candidate blocks have
+    bounds the differing words as a part of the template's, while a short statement
+    (under ``SHORT_WORDS`` words) has to stand as it is.  A null or empty text and a text without candidate blocks have
     no matches.  Repeated rows stay; an empty table gives no rows.
     """
     names = [f"_k{i}" for i in range(len(keep))]
