@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ..plans import fixpoint
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, components: tuple[str, ...] = ()) -> DataFrame:
-    """(node, [components,] value): the best of all paths' worst gates.
+def propagate(edges: DataFrame, seeds: DataFrame, own: tuple[str, ...] = (), shared: tuple[str, ...] = ()) -> DataFrame:
+    """(node, [own and shared columns,] value): the best of all paths' worst gates.
 
     ``edges``: src, dst, gate; ``seeds``: node, value.  Values lie on a short
-    lattice, so cycles settle.  ``components`` names columns that both have and that
-    run independently of each other.
+    lattice, so cycles settle.  ``own`` names columns of the seeds and ``shared`` such
+    of both that tell apart what runs independently over the same edges.
     """
-    on = list(components)
+    on = [*own, *shared]
 
     def step(new: DataFrame) -> DataFrame:
-        return new.join(edges, [*[new[c] == edges[c] for c in on], new["node"] == edges["src"]]).select(edges["dst"].alias("node"), *[new[c] for c in on], F.least(new["value"], edges["gate"]).alias("value"))
+        return new.join(edges, [*[new[c] == edges[c] for c in shared], new["node"] == edges["src"]]).select(edges["dst"].alias("node"), *[new[c] for c in on], F.least(new["value"], edges["gate"]).alias("value"))
 
     return fixpoint.raised(seeds.select("node", *on, "value"), ["node", *on], "value", step)
 
