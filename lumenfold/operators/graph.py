@@ -80,12 +80,12 @@ def through_hubs(members: DataFrame, group: str, node: str) -> DataFrame:
 
 def required(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """States that must stay public.  ``edges``: src, dst, kind; ``seeds``: node, follow.
-    A state that doesn't follow skips edges to a visibility parent; what it reaches
-    follows again."""
+    A state that doesn't follow skips edges to a visibility parent, and so does what it
+    reaches, unless another way leads there."""
 
     def step(new: DataFrame) -> DataFrame:
         allowed = F.col("follow") | (F.col("kind") != "visibility_parent")
-        return new.join(edges, new["node"] == edges["src"]).where(allowed).select(edges["dst"].alias("node"), F.lit(True).alias("follow"))
+        return new.join(edges, new["node"] == edges["src"]).where(allowed).select(edges["dst"].alias("node"), "follow")
 
     return fixpoint.closure(seeds.select("node", "follow"), step).groupBy("node").agg(F.bool_or("follow").alias("follow"))
 
