@@ -75,4 +75,34 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_licenses, op3_language_id, op4_url_filter, op5_simhash, op6_warc, op7_packing, op8_quality, op9_chat, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_VALUES = ", ".join(f"('{w}', '{w.partition('/')[0]}', '/{w.partition('/')[2]}', '{a}')" for a, w in URL_RULES)
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(_UPPER, _LOWER)
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rule, h, prefix, action) AS (VALUES {_VALUES}),
+j AS (SELECT page_id, host, path, (SELECT max_by(rule, length(rule)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix)) AS rule FROM p)
+SELECT page_id, host, path, j.rule AS rule, coalesce(r.action, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])({'|'.join(urls.BLOCKED_HOST_WORDS)})([^a-z0-9]|$)') OR list_has_any(string_split(path, '/')[2:], {list(urls.BLOCKED_SEGMENTS)}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN rules r ON j.rule = r.rule""",
+    "op9_chat": f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS speaker, coalesce(text, '') AS text FROM conversations),
+w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'),
+s AS (SELECT r.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role FROM r JOIN w ON r.conv_id IS NOT DISTINCT FROM w.conv_id),
+h AS (SELECT *, '{chat.OPEN}' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM s),
+g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text) - 1 AS position,
+  CAST(coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_start FROM g)
+SELECT conv_id, perspective, position, turn, role, CASE WHEN role = 'user' THEN speaker END AS name, segment, char_start, char_start + length(segment) AS char_end,
+  CASE WHEN role = 'assistant' THEN char_start + length(head) END AS mask_start, CASE WHEN role = 'assistant' THEN char_start + length(segment) - 1 END AS mask_end FROM o""",
+    "op10_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+k AS (SELECT DISTINCT item, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS key FROM (SELECT item, w, least(len(w), 10) AS m FROM b WHERE len(w) > 0)),
+x AS (SELECT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: {{'i': i, 'key': array_to_string(w[i:i + m - 1], ' ')}})) AS o FROM d, (SELECT DISTINCT m FROM k) WHERE len(w) >= m),
+h AS (SELECT doc_id, x.m AS m, o.i AS i, item FROM x JOIN k ON x.m = k.m AND o.key = k.key),
+n AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS spot FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}

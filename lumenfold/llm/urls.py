@@ -41,7 +41,7 @@ def host_rule(action: str, where: str) -> Rule:
     host, slash, path = where.partition("/")
     prefix = slash + path
     whole = prefix if not prefix or not prefix[-1].isalnum() else _TOKEN.sub(lambda m: "" if m.end() == len(prefix) else m[0], prefix)
-    return Rule(where, action, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(prefix) if prefix else r'(?:/|$)'}", tuple(_TOKEN.findall(host) + _TOKEN.findall(whole)), 1, len(where))
+    return Rule(where, action, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(prefix) if prefix else r'(?:/|\Z)'}", tuple(_TOKEN.findall(host) + _TOKEN.findall(whole)), 1, len(where))
 
 
 def host_word(word: str) -> Rule:
@@ -51,7 +51,7 @@ def host_word(word: str) -> Rule:
 
 def path_segment(segment: str) -> Rule:
     """Blocks paths with this segment."""
-    return Rule(f"path:{segment}", "block", rf"/{re.escape(segment)}(?:/|$)", tuple(_TOKEN.findall(segment)))
+    return Rule(f"path:{segment}", "block", rf"/{re.escape(segment)}(?:/|\Z)", tuple(_TOKEN.findall(segment)))
 
 
 #: Words of hosts and path segments that are blocked.
