@@ -14,7 +14,7 @@ def physical_lines(text: Column) -> Column:
 
 
 def blank_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\r", "")) == 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: ~F.rlike(x, F.lit("[^ \\t\\r]")))
     return F.when(text == "", F.lit(0)).otherwise(F.size(lines) - F.endswith(text, F.lit("\n")).cast("int"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +27,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rounds whose rows are kept apart before they are written as one.
+PARTS = 8
+
+
+class _Known:
+    """What is known so far: the rounds' rows, each written once, together now and then."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, new: DataFrame) -> None:
+        self.parts.append(new)
+        if len(self.parts) > PARTS:
+            self.parts = [cut(self.all())]
+
+
 def closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All rows reachable from ``seed``: ``step`` gives the rows that follow from the
     newest ones; rows that are known already don't come back."""
-    known = new = cut(seed.distinct())
+    new = cut(seed.distinct())
+    known = _Known(new)
     for _ in range(MAX_ROUNDS):
-        new = cut(step(new).distinct().join(known, known.columns, "left_anti"))
+        new = cut(step(new).distinct().join(known.all(), new.columns, "left_anti"))
         if new.isEmpty():
-            return known
-        known = cut(known.unionByName(new))
+            return known.all()
+        known.add(new)
     raise RuntimeError("no fixed point within the round limit")
 
 
@@ -55,10 +76,11 @@ def layers(seed: DataFrame, key: str, step: Callable[[DataFrame], DataFrame]) ->
     """``seed`` with ``level`` 0 and each key that ``step`` reaches with the round in
     which it came first.  Other columns are those of its first arrival, so ``step``
     gives one row for each key."""
-    known = new = cut(seed.withColumn("level", F.lit(0)))
+    new = cut(seed.withColumn("level", F.lit(0)))
+    known = _Known(new)
     for level in range(1, MAX_ROUNDS):
-        new = cut(step(new).withColumn("level", F.lit(level)).join(known.select(key), key, "left_anti"))
+        new = cut(step(new).withColumn("level", F.lit(level)).join(known.all().select(key), key, "left_anti"))
         if new.isEmpty():
-            return known
-        known = cut(known.unionByName(new))
+            return known.all()
+        known.add(new)
     raise RuntimeError("no fixed point within the round limit")
