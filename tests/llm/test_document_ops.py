@@ -225,6 +225,27 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert sum(good) >= 0.99 * len(good) > 0 and sum(bad) <= 0.05 * len(bad)
 
 
+@pytest.mark.parametrize("at_once", [4096, 2])
+def test_clean_documents_without_a_reference_stay(spark, monkeypatch, at_once):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "REFERENCES_AT_ONCE", at_once, raising=False)
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null")
+    part = F.col("doc_id") % 5
+    docs = docs.withColumn("lang", F.when(part == 0, F.lit(None)).otherwise(F.col("lang")))
+    got = quality.judge(docs, keep=("doc_id", "lang")).where("not base_failed and lang is null").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    good, bad = [r.kept for r in got if r.quality == 1], [r.kept for r in got if r.quality == 0]
+    assert sum(r.quality == 1 and r.n_words >= 300 for r in got) > 5
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_each_of_many_languages_has_a_reference(spark):
+    rows = [(i, " ".join(f"{quality.COMMON_WORDS[i % 55]} w{k} v{k}" for k in range(120 + i // 70)), f"l{i % 70:02}") for i in range(70 * 3)]
+    got = quality.judge(docs_frame(spark, rows)).collect()
+    assert len(got) == 210 and all(r.kept for r in got)
+
+
 # -- chat
 
 
