@@ -119,3 +119,14 @@ def test_bands_meet_at_the_stated_similarity():
         a, b = h[:900], np.concatenate([h[100:900], h[900:]])  # 800 of 1000
         met += bool(set(neardup.bands(a)) & set(neardup.bands(b)))
     assert met >= 0.99 * pairs
+
+
+def test_copies_with_repeated_lines_are_grouped(spark):
+    draw = random.Random(12)
+    rows = []
+    for i in range(40):
+        words = [f"w{draw.randint(0, 10**6)}" for _ in range(200)]
+        line = " ".join(f"r{draw.randint(0, 10**6)}" for _ in range(6))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words) + f"\n{line}" * 20)]
+    got = neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [2 * i for i in range(40)]
