@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-Lines that may belong to a license notice are gathered into blocks.  Each block is
-compressed by itself and with every template as zstandard raw dictionary; the
-templates whose dictionary shrinks it most are candidates, and the wording decides:
-a candidate is confirmed if the template's words occur in the block with few words
-missing or between.
+Lines that may belong to a license notice are gathered into blocks.  Windows of about
+twice a template's length that hold enough of its words are compressed by themselves
+and with the template as zstandard raw dictionary; what the dictionary saves is
+measured against the template's own size, however long the block is.  All templates
+that save enough are candidates, and the wording decides: a candidate is confirmed if
+the template's words occur in the window with few words missing or between.  Short
+statements are looked up as they are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -94,30 +97,52 @@ def wording(template: list[str], block: list[str]) -> tuple[int, int]:
 
 
 class Scanner:
-    def __init__(self, templates: tuple[tuple[str, str], ...], top: int, min_reduction: float, max_difference: float):
+    def __init__(self, templates: tuple[tuple[str, str], ...], min_reduction: float, max_difference: float):
         import zstandard as z
 
         self.plain = z.ZstdCompressor(level=3, write_content_size=False)
         self.templates = []
         for name, text in templates:
-            data = z.ZstdCompressionDict(text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, words_of(text), z.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_dict_id=False)))
-        self.top, self.least, self.most = top, min_reduction, max_difference
-        self.step = min(BLOCK_WORDS // 2, 2 * max((len(w) for _, w, _ in self.templates), default=1))
+            if words := words_of(text):
+                raw = " ".join(words).encode("utf-8", "replace")
+                data = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+                self.templates.append((name, words, Counter(words), len(self.plain.compress(raw)), z.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_dict_id=False)))
+        self.least, self.most = min_reduction, max_difference
+        self.step = min(BLOCK_WORDS // 2, 2 * max((len(w) for _, w, *_ in self.templates), default=1))
+
+    def _gain(self, part: str, size: int, with_template) -> float:
+        """What the template as dictionary saves, as a part of the template's own size."""
+        raw = part.encode("utf-8", "replace")
+        return (len(self.plain.compress(raw)) - len(with_template.compress(raw))) / size
+
+    def _windows(self, words: list[str], bag: Counter, size: int, with_template, own: list[str]) -> Iterator[tuple[float, int, int]]:
+        """(reduction, missing, between) of the windows that confirm the template.  Windows
+        overlap by what a notice may take, so one holds it whole."""
+        n = len(words)
+        overlap = n + int(self.most * n) + 1
+        for at in range(0, max(1, len(own) - overlap), n):
+            part = own[at : at + n + overlap]
+            if (bag & Counter(part)).total() < n - self.most * n:
+                continue
+            gain = self._gain(" ".join(part), size, with_template)
+            if gain >= self.least:
+                missing, between = wording(words, part)
+                if missing + between <= self.most * n:
+                    yield gain, missing, between
 
     def block(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, reduction, missing, between) of each confirmed template, the largest reduction first."""
-        raw = text.encode("utf-8", "replace")
-        alone = len(self.plain.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / alone, len(words), name, words) for name, words, c in self.templates), key=lambda x: (-x[0], -x[1], x[2]))
-        out: dict[str, tuple[str, float, int, int]] = {}
         own = words_of(text)
-        for gain, n, name, words in ranked[: self.top]:
-            if gain < self.least or name in out:
-                continue
-            missing, between = wording(words, own)
-            if missing + between <= (self.most * n if n >= SHORT_WORDS else 0):
-                out[name] = (name, gain, missing, between)
+        flat = f" {' '.join(own)} "
+        found = []
+        for name, words, bag, size, c in self.templates:
+            if len(words) >= SHORT_WORDS:
+                found += [(*got, len(words), name) for got in self._windows(words, bag, size, c, own)]
+            elif (at := flat.find(f" {' '.join(words)} ")) >= 0:
+                found.append((self._gain(flat[at + 1 : at + 1 + len(" ".join(words))], size, c), 0, 0, len(words), name))
+        out: dict[str, tuple[str, float, int, int]] = {}
+        for gain, missing, between, _, name in sorted(found, key=lambda x: (-x[0], -x[3], x[4], x[1] + x[2])):
+            out.setdefault(name, (name, gain, missing, between))
         return list(out.values())
 
     def text(self, text: str) -> list[dict]:
@@ -133,12 +158,12 @@ class Scanner:
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("reduction", pa.float64()), ("missing", pa.int32()), ("between", pa.int32())]))
 
 
-def scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, top: int = 6, min_reduction: float = 0.1, max_difference: float = 0.1) -> DataFrame:
+def scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, min_reduction: float = 0.1, max_difference: float = 0.1) -> DataFrame:
     """``keep`` with ``matches``: for each confirmed license its lines, the size
-    reduction, and the words missing and between.
+    reduction as a part of the template's size, and the words missing and between.
 
-    ``top`` templates by reduction are checked for their wording; ``max_difference``
-    bounds the differing words as a part of the template's, while a short statement
+    All full templates that reduce a window by ``min_reduction`` of their own size are
+    checked for their wording; ``max_difference`` bounds the differing words as a part of the template's, while a short statement
     (under ``SHORT_WORDS`` words) has to stand as it is.  A null or empty text and a text without candidate blocks have
     no matches.  Repeated rows stay; an empty table gives no rows.
     """
@@ -148,7 +173,7 @@ def scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "t
     df = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.when(whole.rlike(TRIGGER), whole).alias("_text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, top, min_reduction, max_difference)
+        scanner = Scanner(templates, min_reduction, max_difference)
         for b in batches:
             found = [scanner.text(v.as_py()) if v.is_valid else [] for v in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, _MATCH)], names=[*names, "matches"])

@@ -76,6 +76,23 @@ def test_templates_are_told_apart(spark):
     assert licenses.scan(docs_frame(spark, rows).where("false")).count() == 0
 
 
+def test_notices_in_long_lines_are_found(spark):
+    draw = random.Random(2)
+    voc = ["".join(draw.choices("abcdefghijklmnoprstu", k=draw.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(draw.choices(voc, k=n))
+    full, short = licenses.TEMPLATES[:7], licenses.TEMPLATES[7:]
+    rows, want = [], {}
+    for name, text in [*full, *short]:
+        for before in (0, 60, 200, 800, 1500, 5000):
+            rows.append((len(rows), f"{prose(before)} {text} {prose(300)}"))
+            want[len(rows) - 1] = {name}
+    rows += [(1000, " ".join(t for _, t in full)), (1001, " ".join(t for _, t in short)), (1002, prose(900) + " LICENSED UNDER CC BY-NC 4.0. " + prose(9)), (1003, prose(3000) + " license")]
+    want |= {1000: {n for n, _ in full}, 1001: {n for n, _ in short}, 1002: {"CC-BY-NC-4.0"}, 1003: set()}
+    got = {r.doc_id: {m.license for m in r.matches} for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    # The full Apache notice holds the words of the short one, under the same name.
+    assert got == want
+
+
 def test_license_query_finds_all_statements(spark):
     from lumenfold.llm.queries import op2_licenses
 
