@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -184,16 +185,18 @@ def find(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc
     """
     names = [f"_k{i}" for i in range(len(keep))]
     df = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("_text"))
-    df = df.select("*", F.lit(None).cast("int").alias("n_words"), F.lit(None).cast(_HIT).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    scratch, done = Scratch(docs.sparkSession), 0
-    for block in [*_first(_blocks(benchmark, item_id, item_text))]:
-        if done:
-            df = scratch.cut(df)
-        df = _pass(df, block, window)
-        done += 1
+    df = _spans(df, list(_first(_blocks(benchmark, item_id, item_text))), window, Scratch(docs.sparkSession))
     return df.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("n_words").cast("long").alias("n_words"), "spans", "items")
 
 
+def _spans(df: DataFrame, blocks: list, window: int, scratch: Scratch) -> DataFrame:
+    """``df``, whose last column is the text, with n_words and what all blocks hit of the same text."""
+    df = df.select("*", F.lit(None).cast("int").alias("n_words"), F.lit(None).cast(_HIT).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    for i, block in enumerate(blocks):
+        df = _pass(scratch.cut(df) if i else df, block, window)
+    return df
+
+
 def _first(blocks: Iterator[list]) -> Iterator[list]:
     """At least one block, if an empty one: it counts the words."""
     any_ = False
@@ -251,51 +254,64 @@ def clean_text(text: str, spans: list[tuple[int, int]]) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """The documents without the spans that windows hit.
 
-    Where more than ``max_coverage`` of the words are hit, the document goes.
+    Where more than ``max_coverage`` of the words are hit, in all rounds and by
+    whatever items, the document goes.
     Removal repeats until no window is left, as what a removal joins may hold a
     new one.  Documents without hits, null texts too, stay as they are.  Rows keep
     all their columns.
     """
-    cols = docs.columns
-    df = docs
     blocks = list(_first(_blocks(benchmark, item_id, item_text)))
-    if len(blocks) > 1:
-        scratch = Scratch(docs.sparkSession)
-        # One round over all blocks; rounds repeat until none of them changes a text.
-        while True:
-            df = scratch.cut(_remove_pass(df, blocks, text, window, max_coverage))
-            hit = find(df, benchmark, keep=(), text=text, item_id=item_id, item_text=item_text, window=window)
-            if not hit.where(F.size("spans") > 0).limit(1).count():
-                return df.select(cols)
-    return _remove_pass(df, blocks, text, window, max_coverage).select(cols)
-
-
-def _remove_pass(df: DataFrame, blocks: list, text: str, window: int, max_coverage: float) -> DataFrame:
+    if len(blocks) == 1:
+        return _remove_pass(docs, blocks[0], text, window, max_coverage)
+    cols = docs.columns
+    names = [f"_c{i}" for i in range(len(cols))]
+    own = names[cols.index(text)]
+    back = lambda df: df.select(*[F.col("_text" if n == own else n).alias(c) for n, c in zip(names, cols)])
+    rest = [n for n in names if n != own]
+    df = docs.select(*[F.col(c).alias(n) for n, c in zip(names, cols) if n != own], F.lit(None).cast("long").alias("_whole"), F.lit(0).cast("long").alias("_gone"), F.col(text).alias("_text"))
+    scratch, parts = Scratch(docs.sparkSession), []
+    # A round finds what all blocks hit of the same text; documents without hits are done.
+    while True:
+        found = scratch.cut(_spans(df, blocks, window, scratch).select(*rest, F.coalesce("_whole", "n_words").cast("long").alias("_whole"), (F.col("_gone") + F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))).alias("_gone"), "_text", "spans"))
+        parts.append(back(found.where(F.size("spans") == 0)))
+        hit = found.where((F.size("spans") > 0) & (F.col("_gone") <= max_coverage * F.col("_whole")))
+        if not hit.limit(1).count():
+            return reduce(DataFrame.unionByName, parts)
+        df = scratch.cut(hit.mapInArrow(_cleaned, df.schema))
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that end with text and spans -> the same without the spans."""
+    for b in batches:
+        n = b.num_columns
+        new = [clean_text(t.as_py(), [(s["start"], s["end"]) for s in spans.as_py()]) for t, spans in zip(b.column(n - 2), b.column(n - 1))]
+        yield pa.RecordBatch.from_arrays([*b.columns[: n - 2], pa.array(new, pa.string())], names=b.schema.names[: n - 1])
+
+
+def _remove_pass(df: DataFrame, block: list, text: str, window: int, max_coverage: float) -> DataFrame:
     at = df.columns.index(text)
-    for block in blocks:
-        key = hash((tuple(block), window))
-
-        def clean(batches: Iterator[pa.RecordBatch], block=block, key=key) -> Iterator[pa.RecordBatch]:
-            if key not in _built:
-                _built.clear()
-                _built[key] = Automaton(block, window)
-            auto = _built[key]
-            for batch in batches:
-                new, stays = [], []
-                for value in batch.column(at):
-                    t = value.as_py()
-                    words = words_of(t)
-                    hits, _ = auto.scan(words) if words else ([], None)
-                    whole = len(words)
-                    gone = sum(b - a for a, b in hits)
-                    while hits and gone <= max_coverage * whole:
-                        t = clean_text(t, hits)
-                        hits, _ = auto.scan(words_of(t))
-                        gone += sum(b - a for a, b in hits)
-                    new.append(t)
-                    stays.append(not hits)
-                out = pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(new, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
-                yield out.filter(pa.array(stays, pa.bool_()))
-
-        df = df.mapInArrow(clean, df.schema)
-    return df
+    key = hash((tuple(block), window))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _built:
+            _built.clear()
+            _built[key] = Automaton(block, window)
+        auto = _built[key]
+        for batch in batches:
+            new, stays = [], []
+            for value in batch.column(at):
+                t = value.as_py()
+                words = words_of(t)
+                hits, _ = auto.scan(words) if words else ([], None)
+                whole = len(words)
+                gone = sum(b - a for a, b in hits)
+                while hits and gone <= max_coverage * whole:
+                    t = clean_text(t, hits)
+                    hits, _ = auto.scan(words_of(t))
+                    gone += sum(b - a for a, b in hits)
+                new.append(t)
+                stays.append(not hits)
+            out = pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(new, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
+            yield out.filter(pa.array(stays, pa.bool_()))
+
+    return df.mapInArrow(clean, df.schema)

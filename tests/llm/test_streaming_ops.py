@@ -126,6 +126,18 @@ def test_remove_leaves_no_window_and_clean_documents(spark, monkeypatch, block):
     assert not any(h for _, h, _ in brute([(i, t) for i, t in by.items()], items))
 
 
+@pytest.mark.parametrize("block", [200_000, 20])
+def test_hits_of_all_blocks_count_together(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(3)]
+    filler = [f"f{j}" for j in range(80)]
+    most = " ".join([*filler[:20], items[0][1], *filler[20:30], items[1][1], *filler[30:40], items[2][1]])
+    some = " ".join([*filler[:30], items[0][1], *filler[30:60], items[1][1]])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.remove(frame(spark, [(1, most), (2, some), (3, None)]), bench).collect()
+    assert {r.doc_id: r.text and r.text.split() for r in got} == {2: filler[:60], 3: None}
+
+
 # -- language ID
 
 
