@@ -23,8 +23,8 @@ _FOLD = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c
 _LETTER = re.compile(r"[^\W\d_]")
 #: Odd multipliers of the slot hashes; each takes the top bits of a 64-bit product.
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-#: At most so many languages: a bit each in a 64-bit slot.
-MAX_LANGS = 64
+#: Languages in a word of a slot, a bit each; a slot has as many words as the languages need.
+WORD_BITS = 64
 
 
 def has_letter(text: str | None) -> bool:
@@ -62,7 +62,7 @@ def _slots(keys: np.ndarray, j: int, log2_slots: int) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    slots: np.ndarray
+    slots: np.ndarray  # word of a slot, slot
     log2_slots: int
     n: int
     false: np.ndarray  # false positives by language
@@ -71,31 +71,33 @@ class Model:
     def build(cls, held: dict[str, np.ndarray], n: int, log2_slots: int) -> "Model":
         """``held``: each language's n-grams, the most frequent language first."""
         langs = list(held)
-        kind = next(t for t, m in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= m)
-        slots = np.zeros(1 << log2_slots, kind)
+        kind = next((t for t, m in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(langs) <= m), np.uint64)
+        slots = np.zeros((-(-len(langs) // WORD_BITS), 1 << log2_slots), kind)
         for b, lang in enumerate(langs):
             for j in range(len(_MULT)):
-                np.bitwise_or.at(slots, _slots(held[lang], j, log2_slots), kind(1 << b))
-        fill = np.array([((slots >> kind(b)) & kind(1)).mean() for b in range(len(langs))])
+                np.bitwise_or.at(slots[b // WORD_BITS], _slots(held[lang], j, log2_slots), kind(1 << b % WORD_BITS))
+        fill = np.array([((slots[b // WORD_BITS] >> kind(b % WORD_BITS)) & kind(1)).mean() for b in range(len(langs))])
         return cls(langs, slots, log2_slots, n, fill ** len(_MULT))
 
-    def masks(self, keys: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that hold it, as bits."""
-        m = self.slots[_slots(keys, 0, self.log2_slots)]
+    def masks(self, keys: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the languages that hold it, as bits; ``word``: which 64 languages."""
+        slots = self.slots[word]
+        m = slots[_slots(keys, 0, self.log2_slots)]
         for j in range(1, len(_MULT)):
-            m &= self.slots[_slots(keys, j, self.log2_slots)]
+            m &= slots[_slots(keys, j, self.log2_slots)]
         return m
 
     def shares(self, texts: list[bytes]) -> np.ndarray:
         """For each text and language, the corrected share of its n-grams that the language holds."""
         keys, starts = grams(texts, self.n)
-        m = self.masks(keys)
         some = keys != 0
-        m[~some] = 0
         total = np.maximum(np.add.reduceat(some.astype(np.int64), starts), 1)
         out = np.empty((len(texts), len(self.langs)))
         for b in range(len(self.langs)):
-            hits = np.add.reduceat(((m >> m.dtype.type(b)) & m.dtype.type(1)).astype(np.int64), starts)
+            if b % WORD_BITS == 0:
+                m = self.masks(keys, b // WORD_BITS)
+                m[~some] = 0
+            hits = np.add.reduceat(((m >> m.dtype.type(b % WORD_BITS)) & m.dtype.type(1)).astype(np.int64), starts)
             out[:, b] = np.clip((hits / total - self.false[b]) / (1 - self.false[b]), 0, 1)
         return out
 
@@ -116,14 +118,14 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     ``docs_per_lang`` bounds the labelled rows that are read for a language: about
     so many, chosen by a hash of ``key``.  ``min_share`` keeps the n-grams that make
     up at least that part of a language's, so at most 1/min_share of them reach the
-    driver.  The 64 most frequent languages are learned.
+    driver for each.  All languages are learned.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)).alias("u")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model.build({"und": np.zeros(0, np.uint64)}, n, log2_slots)
     names = [r["lang"] for r in counts]
-    part = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, docs_per_lang / r["count"]) * 1_000_000)) for r in counts])
+    part = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(docs_per_lang / r["count"] * 1_000_000)) for r in counts if r["count"] > docs_per_lang], F.lit(1_000_000.0))
     sample = rows.where(F.col("u") < part).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +139,11 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     summed = sample.mapInArrow(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     summed.persist()
     totals = {r["lang"]: r["t"] for r in summed.groupBy("lang").agg(F.sum("times").alias("t")).collect()}
-    least = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v * min_share)) for k, v in totals.items()], F.lit(0.0)) if totals else F.lit(0.0)
+    least = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v * min_share)) for k, v in totals.items() if v * min_share > 1], F.lit(0.0))
     frequent = summed.where(F.col("times") >= least).select("lang", "gram").toPandas()
     summed.unpersist()
-    held = {name: frequent.loc[frequent["lang"] == name, "gram"].to_numpy().astype(np.uint64) for name in names}
+    found = {name: part["gram"].to_numpy().astype(np.uint64) for name, part in frequent.groupby("lang")}
+    held = {name: found.get(name, np.zeros(0, np.uint64)) for name in names}
     return Model.build(held, n, log2_slots)
 
 
@@ -156,7 +159,7 @@ def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",
     """
     names = [f"_k{i}" for i in range(len(keep))]
     df = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.col(text).alias("_text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**log2_slots words of 8 bytes
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**log2_slots words of 8 bytes for every 64 languages
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

@@ -164,6 +164,16 @@ def test_language_id(spark):
     assert langid.predict(df.where("false"), langid.train(df.where("false"))).count() == 0
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    draw = random.Random(8)
+    voc = {f"l{i:03}": ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for i in range(130)}
+    docs = [(i * 1000 + k, " ".join(draw.choices(voc[l], k=20)), l) for i, l in enumerate(voc) for k in range(2)]
+    df = frame(spark, docs)
+    model = langid.train(df)
+    assert sorted(model.langs) == sorted(voc)
+    assert all(r.lang_pred == r.lang for r in langid.predict(df, model, keep=("doc_id", "lang")).collect())
+
+
 def test_held_out_accuracy(spark):
     from lumenfold.llm.queries import op3_language_id
 
