@@ -2,7 +2,8 @@
 
 Each response gives a ``metadata`` record (title, language, outlinks) and a
 ``conversion`` record (plain text).  Both refer to the response by WARC-Refers-To,
-keep the source's target, date and other headers, and carry digests of their own.
+keep the source's target, date and other headers, name its digests as
+WARC-Source-Payload-Digest and WARC-Source-Block-Digest, and carry a digest of their own.
 A record depends on its response alone, so nothing is shuffled.
 """
 
@@ -13,6 +14,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 VERSION = "WARC/1.1"
 #: Ids of records made here are name-based in this space.
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-#: Headers of a response that its derivatives keep as they are.
-KEPT_HEADERS = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID", "WARC-Page-ID")
+#: Headers that say what a record itself is; its derivatives have their own and keep all others as they are.
+OWN_HEADERS = frozenset("warc-type warc-record-id warc-refers-to content-type content-length warc-block-digest warc-payload-digest warc-source-payload-digest warc-source-block-digest warc-segment-number warc-segment-origin-id warc-segment-total-length".split())
 
 _HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)")
 _BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
@@ -76,12 +78,60 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
         lines = data[at:head].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        headers = [tuple(x.split(": ", 1)) for x in lines[1:]]
-        size = int(dict(headers)["Content-Length"])
+        headers = [(k, v.removeprefix(" ")) for k, _, v in (x.partition(":") for x in lines[1:])]
+        size = int({k.lower(): v for k, v in headers}["content-length"])
         yield headers, data[head + 4 : head + 4 + size]
         at = head + 4 + size + 4
 
 
+_CHARSET = re.compile(rb"""(?i)charset\s*=\s*["']?([\w.:-]+)""")
+
+
+def http_parts(block: bytes) -> tuple[bytes, bytes]:
+    """(head, payload) of an HTTP message; without a head the block is the payload."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block
+    ends = [(at, len(end)) for end in (b"\r\n\r\n", b"\n\n") if (at := block.find(end)) >= 0]
+    if not ends:
+        return block, b""
+    at, size = min(ends)
+    return block[:at], block[at + size :]
+
+
+def _dechunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            return data  # stored without its chunks
+        if not size:
+            break
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) or data
+
+
+def decoded(head: bytes, payload: bytes) -> str:
+    """The payload as text: its transfer and content coding undone, in the charset that
+    the head or the page names, else UTF-8."""
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.splitlines()[1:])}
+    if b"chunked" in fields.get(b"transfer-encoding", b"").lower():
+        payload = _dechunked(payload)
+    if (coding := fields.get(b"content-encoding", b"").lower()) in (b"gzip", b"x-gzip", b"deflate"):
+        for bits in (47, -15):
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:  # stored decoded already, or raw deflate
+                continue
+    named = _CHARSET.search(fields.get(b"content-type", b"")) or (_CHARSET.search(payload[:2048]) if head else None)
+    try:
+        return payload.decode(named[1].decode() if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
 def responses(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Response records of a table of pages: ``key``, ``record_id``, ``headers`` (map) and
     ``payload``.  The id is made of key and url; a null payload is empty."""
@@ -100,7 +150,9 @@ _RECORD = "warc_type string, record_id string, refers_to string, target_uri stri
 def derive(source: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Two rows, metadata and conversion, for each response (``record_id``,
     ``headers``, ``payload``): ``keep`` with the record's type, id, the id it refers to,
-    its block and digests, and ``record``, the bytes to write.
+    its block and digests, and ``record``, the bytes to write.  The source's digests
+    stand as its headers give them; only where there is none, one of the payload is
+    made: of ``payload_bytes`` if there is such a column, else of the text.
 
     Ids are made of the response's id, so a repeated run gives the same records and
     repeated rows repeat theirs.  A null payload is an empty page: its conversion has
@@ -108,13 +160,13 @@ def derive(source: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFr
     An empty table gives no rows.
     """
     names = [f"_k{i}" for i in range(len(keep))]
-    df = source.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.coalesce("record_id", F.lit("")).alias("i"), F.map_entries("headers").alias("h"), F.coalesce("payload", F.lit("")).alias("p"))
+    df = source.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.coalesce("record_id", F.lit("")).alias("i"), F.map_entries("headers").alias("h"), F.coalesce("payload", F.lit("")).alias("p"), (F.col("payload_bytes") if "payload_bytes" in source.columns else F.lit(None).cast("binary")).alias("r"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, at, rows = len(names), [], []
-            for j, (i, h, p) in enumerate(zip(*(b.column(c).to_pylist() for c in (n, n + 1, n + 2)))):
-                rows += _derivatives(i, {e["key"]: e["value"] for e in h or ()}, p)
+            for j, (i, h, p, r) in enumerate(zip(*(b.column(c).to_pylist() for c in (n, n + 1, n + 2, n + 3)))):
+                rows += _derivatives(i, {e["key"]: e["value"] for e in h or ()}, p, r)
                 at += [j, j]
             fields = list(zip(*rows)) if rows else [()] * 10
             kinds = [pa.string()] * 8 + [pa.int32(), pa.binary()]
@@ -126,9 +178,11 @@ def derive(source: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFr
     return out.select(*[F.col(a).alias(c) for c, a in zip(keep, names)], *out.columns[len(names) :])
 
 
-def _derivatives(source_id: str, source: dict[str, str], page: str) -> list[tuple]:
+def _derivatives(source_id: str, source: dict[str, str], page: str, payload: bytes | None) -> list[tuple]:
     facts = page_facts(page)
-    paid = digest(page.encode("utf-8", "replace"))
+    named = {k.lower(): v for k, v in source.items()}
+    paid = named.get("warc-payload-digest") or digest(page.encode("utf-8", "replace") if payload is None else payload)
+    whole = named.get("warc-block-digest")
     made = []
     for kind, mime, block in (
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts)),
@@ -137,10 +191,10 @@ def _derivatives(source_id: str, source: dict[str, str], page: str) -> list[tupl
         raw = block.encode("utf-8", "replace")
         own, sum_ = record_id(kind, source_id), digest(raw)
         headers = [("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Refers-To", source_id)]
-        headers += [(k, source[k]) for k in KEPT_HEADERS if source.get(k)]
-        headers += [("WARC-Source-Payload-Digest", paid), ("WARC-Block-Digest", sum_), ("Content-Type", mime), ("Content-Length", str(len(raw)))]
+        headers += [(k, v) for k, v in source.items() if v and k.lower() not in OWN_HEADERS]
+        headers += [("WARC-Source-Payload-Digest", paid), *([("WARC-Source-Block-Digest", whole)] if whole else []), ("WARC-Block-Digest", sum_), ("Content-Type", mime), ("Content-Length", str(len(raw)))]
         links = sum(k == "outlink" for k, _ in facts)
-        made.append((kind, own, source_id, source.get("WARC-Target-URI", ""), mime, block, sum_, paid, links, serialize([(k, _header(v)) for k, v in headers], raw)))
+        made.append((kind, own, source_id, named.get("warc-target-uri") or "", mime, block, sum_, paid, links, serialize([(k, _header(v)) for k, v in headers], raw)))
     return made
 
 
@@ -150,7 +204,8 @@ def _header(value: str) -> str:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed WARC files: ``record_id``, ``warc_type``, ``headers``, ``payload``."""
+    """Records of uncompressed WARC files: ``record_id``, ``warc_type``, ``headers``,
+    ``payload`` (the text, without an HTTP head) and ``payload_bytes`` (as they stand)."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +213,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column(0):
                 got = list(parse(data.as_py()))
                 heads = [dict(h) for h, _ in got]
+                low = [{k.lower(): v for k, v in h} for h, _ in got]
+                parts = [http_parts(x) if h.get("content-type", "").lower().startswith("application/http") else (b"", x) for h, (_, x) in zip(low, got)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([h.get("WARC-Record-ID") for h in heads], pa.string()), pa.array([h.get("WARC-Type") for h in heads], pa.string()), pa.array([list(h.items()) for h in heads], pa.map_(pa.string(), pa.string())), pa.array([x.decode("utf-8", "replace") for _, x in got], pa.string())],
-                    names=["record_id", "warc_type", "headers", "payload"],
+                    [pa.array([h.get("warc-record-id") for h in low], pa.string()), pa.array([h.get("warc-type") for h in low], pa.string()), pa.array([list(h.items()) for h in heads], pa.map_(pa.string(), pa.string())), pa.array([decoded(*x) for x in parts], pa.string()), pa.array([x for _, x in parts], pa.binary())],
+                    names=["record_id", "warc_type", "headers", "payload", "payload_bytes"],
                 )
 
-    return files.mapInArrow(split, "record_id string, warc_type string, headers map<string,string>, payload string")
+    return files.mapInArrow(split, "record_id string, warc_type string, headers map<string,string>, payload string, payload_bytes binary")

@@ -188,6 +188,26 @@ def test_warc_file_round_trip(spark, tmp_path):
     assert again.count() == 4
 
 
+def test_source_digests_and_headers_stand(spark, tmp_path):
+    page = '<html lang="fr"><head><title>\u00c9t\u00e9</title></head><p>chaud \u00e9t\u00e9'.encode("latin-1")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nX-Line: no text\r\n\r\n"
+    common = [("WARC-Type", "response"), ("WARC-Target-URI", "http://e.com/"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Truncated", "length"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(http + page)))]
+    one = warc.serialize([*common, ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Payload-Digest", "sha256:given"), ("WARC-Block-Digest", "sha1:WHOLE")], http + page)
+    two = warc.serialize([*common, ("warc-record-id", "<urn:uuid:2>")], http + page)
+    (tmp_path / "a.warc").write_bytes(one + two)
+    read = warc.read(spark, str(tmp_path))
+    assert all(bytes(r.payload_bytes) == page for r in read.collect())
+    got = {(r.record_id_of, r.warc_type): r for r in warc.derive(read.withColumn("record_id_of", read.record_id), keep=("record_id_of",)).collect()}
+    assert len(got) == 4
+    for (source, kind), r in got.items():
+        h = dict(next(warc.parse(bytes(r.record)))[0])
+        first = source == "<urn:uuid:1>"
+        paid = "sha256:given" if first else "sha1:" + base64.b32encode(hashlib.sha1(page).digest()).decode()
+        assert h["WARC-Source-Payload-Digest"] == r.source_digest == paid and h.get("WARC-Source-Block-Digest") == ("sha1:WHOLE" if first else None)
+        assert h["WARC-Truncated"] == "length" and h["WARC-Type"] == kind and r.target_uri == "http://e.com/"
+        assert r.block == ("chaud \u00e9t\u00e9" if kind == "conversion" else "title: \u00c9t\u00e9\r\nlanguages-declared: fr\r\n")
+
+
 # -- quality
 
 
