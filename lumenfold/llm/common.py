@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of this application.
 
-    It lies under ``spark.checkpoint.dir``.  Only where that is unset (tests on
-    one machine) a temporary folder takes its place.
+    It lies under ``spark.checkpoint.dir``.  Only where that is unset and the driver is
+    the only executor (tests on one machine) a temporary folder takes its place; a
+    cluster without a shared folder is an error, as reads would miss what others wrote.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = getattr(sc, "_lumenfold_scratch", None)
     if not named:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = sc._lumenfold_scratch = tempfile.mkdtemp(prefix="lumenfold-")
     return f"{named.rstrip('/')}/lumenfold-{sc.applicationId}"
 
@@ -44,6 +49,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.made = spark, []
         _later(spark)
+        for inside in _scopes:
+            inside.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{scratch_root(self.spark)}/{uuid.uuid4().hex}"
@@ -60,6 +67,23 @@ class Scratch:
             fs.delete(p, True)
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What scratch spaces made inside have written goes at the end: by then the result
+    that needed it must stand elsewhere."""
+    inside: list[Scratch] = []
+    _scopes.append(inside)
+    try:
+        yield
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not inside]
+        for scratch in inside:
+            scratch.drop()
+
+
 _registered: set[str] = set()
 
 

@@ -102,14 +102,12 @@ class Model:
         return out
 
     def decide(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
-        """The language of each text and its part of all languages' shares; ties and texts
-        without any known n-gram go to the language that is more frequent in training."""
+        """The language of each text and its share, which doesn't depend on how many other
+        languages there are; ties and texts without any known n-gram go to the language
+        that is more frequent in training."""
         s = self.shares(texts)
         best = s.argmax(axis=1)
-        total = s.sum(axis=1)
-        top = s[np.arange(len(texts)), best]
-        score = np.where(total > 0, top / np.where(total > 0, total, 1), 0.0)
-        return [self.langs[b] for b in best], [float(x) for x in score]
+        return [self.langs[b] for b in best], [float(x) for x in s[np.arange(len(texts)), best]]
 
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", n: int = 5, min_share: float = 2e-5, log2_slots: int = 20, docs_per_lang: int = 20_000) -> Model:
@@ -118,15 +116,18 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     ``docs_per_lang`` bounds the labelled rows that are read for a language: about
     so many, chosen by a hash of ``key``.  ``min_share`` keeps the n-grams that make
     up at least that part of a language's, so at most 1/min_share of them reach the
-    driver for each.  All languages are learned.
+    driver for each.  All languages are learned.  Without any labelled text the model
+    knows the language und alone.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)).alias("u")).where("text is not null and lang is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model.build({"und": np.zeros(0, np.uint64)}, n, log2_slots)
     names = [r["lang"] for r in counts]
-    part = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(docs_per_lang / r["count"] * 1_000_000)) for r in counts if r["count"] > docs_per_lang], F.lit(1_000_000.0))
-    sample = rows.where(F.col("u") < part).select("lang", "text")
+    spark = docs.sparkSession
+    # A row for each language.
+    part = F.broadcast(spark.createDataFrame([(r["lang"], docs_per_lang / r["count"] * 1_000_000) for r in counts], "lang string, part double"))
+    sample = rows.join(part, "lang").where(F.col("u") < F.col("part")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +139,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
 
     summed = sample.mapInArrow(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     summed.persist()
-    totals = {r["lang"]: r["t"] for r in summed.groupBy("lang").agg(F.sum("times").alias("t")).collect()}
-    least = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v * min_share)) for k, v in totals.items() if v * min_share > 1], F.lit(0.0))
-    frequent = summed.where(F.col("times") >= least).select("lang", "gram").toPandas()
+    least = F.broadcast(summed.groupBy("lang").agg((F.sum("times") * min_share).alias("least")))
+    frequent = summed.join(least, "lang").where(F.col("times") >= F.col("least")).select("lang", "gram").toPandas()
     summed.unpersist()
     found = {name: part["gram"].to_numpy().astype(np.uint64) for name, part in frequent.groupby("lang")}
     held = {name: found.get(name, np.zeros(0, np.uint64)) for name in names}
@@ -151,7 +151,8 @@ _SLICE = 2 << 20
 
 
 def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` with ``lang_pred`` and ``score`` (0 to 1) of every whole text.
+    """``keep`` with ``lang_pred`` and ``score`` (0 to 1: the share of its n-grams that
+    the language holds, corrected for false positives) of every whole text.
 
     ``und`` with score 0 if the text is null or has no letter.  A text with letters
     but no known n-gram gets the most frequent language with score 0.  Repeated rows

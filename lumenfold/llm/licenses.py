@@ -1,21 +1,24 @@
 """License scans by conditional compression.
 
-Lines that may belong to a license notice are gathered into blocks.  Windows of about
-twice a template's length that hold enough of its words are compressed by themselves
-and with the template as zstandard raw dictionary; what the dictionary saves is
-measured against the template's own size, however long the block is.  All templates
-that save enough are candidates, and the wording decides: a candidate is confirmed if
-the template's words occur in the window with few words missing or between.  Short
-statements are looked up as they are.
+A text is looked at as its words; lines play no part in finding.  Each template names
+words of its own of which any copy within the allowed differences must hold one.  The
+engine sorts out texts without such a word, and a word's place in the template says
+where a copy would begin.  The window there is compressed by itself and with the
+template as zstandard raw dictionary; what that saves, against the template's own
+size, ranks the candidates.  The wording decides: the fewest words that are missing
+or stand between, and no difference in a version number or in a word that tells the
+template from a lookalike.  Of candidates over the same words the best one stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,12 @@ _BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its
 _BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+_GPL2 = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+_LGPL3 = """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
+_LGPL2 = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
+_AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+_CC0 = """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
 #: Fixed values: (license, wording).  Full notices and the short statements in use.
@@ -38,6 +47,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", _APACHE),
     ("GPL-3.0", _GPL),
     ("Unlicense", _UNLICENSE),
+    ("GPL-2.0", _GPL2),
+    ("LGPL-3.0", _LGPL3),
+    ("LGPL-2.1", _LGPL2),
+    ("AGPL-3.0", _AGPL),
+    ("MPL-2.0", _MPL),
+    ("CC0-1.0", _CC0),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -49,51 +64,76 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 )
 
-#: A line with one of these may belong to a notice.
-TRIGGER = r"(?i)licen[cs]e|copyright|permission|permitted|redistribut|warrant|liable|public domain|\bas is\b|free software|creative commons|spdx"
-#: Lines without a trigger that may lie inside a block and that the wider form takes in on both sides; words of a block looked at together.
-GAP_LINES, AROUND_LINES, BLOCK_WORDS = 4, 10, 2_000
-#: A template of fewer words has to stand in the block without any difference.
-SHORT_WORDS = 40
-_trigger, _word = re.compile(TRIGGER), re.compile(r"[^\W_]+")
+#: A template of fewer words has to stand in the text without any difference.
+SHORT_WORDS = 30
+_word = re.compile(r"[^\W_]+")
+_VERSION = ("version", "v")
 
 
 def words_of(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
-def blocks(text: str, step: int) -> Iterator[tuple[int, int, str]]:
-    """(first line, line after the last, text) of each candidate block: runs of lines
-    with triggers, and the same with the lines around, where a notice may begin or
-    end.  Long blocks come in parts that overlap by ``step`` words, so a notice lies
-    whole in one."""
-    lines = text.split("\n")
-    runs: list[list[int]] = []
-    for i, line in enumerate(lines):
-        if _trigger.search(line):
-            if runs and i - runs[-1][1] <= GAP_LINES:
-                runs[-1][1] = i + 1
-            else:
-                runs.append([i, i + 1])
-    wider = [[max(0, a - AROUND_LINES), min(len(lines), b + AROUND_LINES)] for a, b in runs]
-    for a, b in [x for pair in zip(runs, wider) for x in (pair if pair[0] != pair[1] else pair[:1])]:
-        block = "\n".join(lines[a:b])
-        spans = [m.span() for m in _word.finditer(block)]
-        if len(spans) <= BLOCK_WORDS:
-            yield a, b, block
-            continue
-        for at in range(0, max(1, len(spans) - step), BLOCK_WORDS - step):
-            s, e = spans[at][0], spans[min(at + BLOCK_WORDS, len(spans)) - 1][1]
-            first = a + block.count("\n", 0, s)
-            yield first, first + block.count("\n", s, e) + 1, block[s:e]
-
-
-def wording(template: list[str], block: list[str]) -> tuple[int, int]:
-    """How many of the template's words are missing in the block, and how many words stand between those found."""
-    parts = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    found = sum(m.size for m in parts)
-    between = sum(max(0, n.b - m.b - m.size) for m, n in zip(parts, parts[1:]))
-    return len(template) - found, between
+def versions(words: list[str]) -> list[str]:
+    """The numbers that follow the word version."""
+    out = []
+    for i, w in enumerate(words):
+        if w in _VERSION:
+            j = i + 1
+            while j < len(words) and words[j].isdigit():
+                out.append(words[j])
+                j += 1
+            out.append("")
+    return out
+
+
+def _last_row(template: np.ndarray, window: np.ndarray, free: bool) -> np.ndarray:
+    """For each end in the window: the fewest missing words and words between of the
+    template against what ends there and begins anywhere (``free``) or at the front."""
+    at = np.arange(len(window) + 1)
+    row = np.zeros(len(window) + 1, np.int64) if free else at.copy()
+    for i, w in enumerate(template):
+        down = row + 1
+        down[1:] = np.where(window == w, np.minimum(down[1:], row[:-1]), down[1:])
+        row = np.minimum.accumulate(down - at) + at
+    return row
+
+
+def wording(template: list[str], window: list[str]) -> tuple[int, int, int, int]:
+    """(missing, between, start, end) of the stretch of the window that differs least."""
+    ids: dict[str, int] = {}
+    t, w = (np.array([ids.setdefault(x, len(ids)) for x in words], np.int64) for words in (template, window))
+    row = _last_row(t, w, True)
+    end = int(row.argmin())
+    back = _last_row(t[::-1], w[:end][::-1], False)
+    length = int(back.argmin())
+    differ = int(back[length])
+    missing = (differ + len(template) - length) // 2
+    return missing, differ - missing, end - length, end
+
+
+@dataclass
+class Template:
+    name: str
+    words: list[str]
+    bag: Counter
+    size: int
+    compressor: object
+    #: Words of which each copy holds at least one, with their places in the template.
+    marks: dict[str, list[int]]
+    must: set[str] = field(default_factory=set)  # words that a lookalike lacks
+    never: set[str] = field(default_factory=set)  # words that a lookalike has instead
+
+
+def marks_of(words: list[str], most: float) -> dict[str, list[int]]:
+    """The template's longest words, so many that the allowed differences can't take all of them."""
+    bag, out, held = Counter(words), {}, 0
+    for w in sorted(bag, key=lambda w: (-len(w), w)):
+        out[w] = [i for i, x in enumerate(words) if x == w]
+        held += bag[w]
+        if held > most * len(words):
+            break
+    return out
 
 
 class Scanner:
@@ -101,76 +141,103 @@ class Scanner:
         import zstandard as z
 
         self.plain = z.ZstdCompressor(level=3, write_content_size=False)
-        self.templates = []
+        self.least, self.most = min_reduction, max_difference
+        self.templates: list[Template] = []
         for name, text in templates:
             if words := words_of(text):
                 raw = " ".join(words).encode("utf-8", "replace")
                 data = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-                self.templates.append((name, words, Counter(words), len(self.plain.compress(raw)), z.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_dict_id=False)))
-        self.least, self.most = min_reduction, max_difference
-        self.step = min(BLOCK_WORDS // 2, 2 * max((len(w) for _, w, *_ in self.templates), default=1))
-
-    def _gain(self, part: str, size: int, with_template) -> float:
+                self.templates.append(Template(name, words, Counter(words), len(self.plain.compress(raw)), z.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_dict_id=False), marks_of(words, self.differences(len(words)) / len(words))))
+        full = [t for t in self.templates if len(t.words) >= SHORT_WORDS]
+        for t in full:
+            for u in full:
+                if t.name != u.name and (t.bag - u.bag).total() + (u.bag - t.bag).total() <= self.differences(len(t.words)):
+                    t.must |= set(t.bag - u.bag)
+                    t.never |= set(u.bag - t.bag)
+        self.marks = {w for t in self.templates for w in t.marks}
+
+    def differences(self, n: int) -> int:
+        return int(self.most * n) if n >= SHORT_WORDS else 0
+
+    def gain(self, words: list[str], t: Template) -> float:
         """What the template as dictionary saves, as a part of the template's own size."""
-        raw = part.encode("utf-8", "replace")
-        return (len(self.plain.compress(raw)) - len(with_template.compress(raw))) / size
-
-    def _windows(self, words: list[str], bag: Counter, size: int, with_template, own: list[str]) -> Iterator[tuple[float, int, int]]:
-        """(reduction, missing, between) of the windows that confirm the template.  Windows
-        overlap by what a notice may take, so one holds it whole."""
-        n = len(words)
-        overlap = n + int(self.most * n) + 1
-        for at in range(0, max(1, len(own) - overlap), n):
-            part = own[at : at + n + overlap]
-            if (bag & Counter(part)).total() < n - self.most * n:
-                continue
-            gain = self._gain(" ".join(part), size, with_template)
-            if gain >= self.least:
-                missing, between = wording(words, part)
-                if missing + between <= self.most * n:
-                    yield gain, missing, between
-
-    def block(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, reduction, missing, between) of each confirmed template, the largest reduction first."""
-        own = words_of(text)
-        flat = f" {' '.join(own)} "
-        found = []
-        for name, words, bag, size, c in self.templates:
-            if len(words) >= SHORT_WORDS:
-                found += [(*got, len(words), name) for got in self._windows(words, bag, size, c, own)]
-            elif (at := flat.find(f" {' '.join(words)} ")) >= 0:
-                found.append((self._gain(flat[at + 1 : at + 1 + len(" ".join(words))], size, c), 0, 0, len(words), name))
-        out: dict[str, tuple[str, float, int, int]] = {}
-        for gain, missing, between, _, name in sorted(found, key=lambda x: (-x[0], -x[3], x[4], x[1] + x[2])):
-            out.setdefault(name, (name, gain, missing, between))
-        return list(out.values())
+        raw = " ".join(words).encode("utf-8", "replace")
+        return (len(self.plain.compress(raw)) - len(t.compressor.compress(raw))) / t.size
+
+    def confirmed(self, t: Template, window: list[str]) -> tuple[float, int, int, int, int] | None:
+        """(reduction, missing, between, start, end) if the window holds the template's wording."""
+        n, slack = len(t.words), self.differences(len(t.words))
+        if (t.bag & Counter(window)).total() < n - slack or (gain := self.gain(window, t)) < self.least:
+            return None
+        missing, between, a, b = wording(t.words, window)
+        if missing + between > slack:
+            return None
+        part = Counter(window[a:b])
+        if t.must & set(t.bag - part) or t.never & set(part - t.bag) or versions(t.words) != versions(window[a:b]):
+            return None
+        return gain, missing, between, a, b
+
+    def candidates(self, words: list[str]) -> Iterator[tuple[Template, int, int]]:
+        """(template, window's start, end): where the place of a marked word says a copy may stand."""
+        places: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            if w in self.marks:
+                places.setdefault(w, []).append(i)
+        for t in self.templates:
+            n, slack = len(t.words), self.differences(len(t.words))
+            step = slack + 1
+            # A copy's marked words say its start but for the differences before them.
+            for at in sorted({(p - k) // step for w, ks in t.marks.items() for p in places.get(w, ()) for k in ks}):
+                a, b = max(0, at * step - slack), min(len(words), at * step + step + n + 2 * slack)
+                if b - a >= n - slack:
+                    yield t, a, b
+
+    def matches(self, words: list[str]) -> list[tuple[int, int, str, float, int, int]]:
+        """(start, end, license, reduction, missing, between), by place; none overlap."""
+        found = set()
+        for t, a, b in self.candidates(words):
+            if got := self.confirmed(t, words[a:b]):
+                gain, missing, between, s, e = got
+                found.add((missing - len(t.words), missing + between, -gain, t.name, a + s, a + e, missing, between))
+        out: list[tuple[int, int, str, float, int, int]] = []
+        for _, _, gain, name, a, b, missing, between in sorted(found):
+            at = bisect_right(out, (a,))
+            if (at == len(out) or b <= out[at][0]) and (at == 0 or out[at - 1][1] <= a):
+                out.insert(at, (a, b, name, -gain, missing, between))
+        return out
 
     def text(self, text: str) -> list[dict]:
-        """The confirmed licenses; one that several blocks over the same lines hold is named once."""
-        out: list[dict] = []
-        for a, b, part in blocks(text, self.step):
-            for name, gain, missing, between in self.block(part):
-                if not any(m["license"] == name and m["first_line"] < b and a <= m["last_line"] for m in out):
-                    out.append({"license": name, "first_line": a, "last_line": b - 1, "reduction": gain, "missing": missing, "between": between})
-        return out
+        spans = [m.span() for m in _word.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+        ends = [m.start() for m in re.finditer("\n", text)]
+        return [
+            {"license": name, "first_line": bisect_right(ends, spans[a][0]), "last_line": bisect_right(ends, spans[b - 1][0]), "reduction": gain, "missing": missing, "between": between}
+            for a, b, name, gain, missing, between in self.matches(words)
+        ]
 
 
 _MATCH = pa.list_(pa.struct([("license", pa.string()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("reduction", pa.float64()), ("missing", pa.int32()), ("between", pa.int32())]))
 
 
 def scan(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, min_reduction: float = 0.1, max_difference: float = 0.1) -> DataFrame:
-    """``keep`` with ``matches``: for each confirmed license its lines, the size
-    reduction as a part of the template's size, and the words missing and between.
-
-    All full templates that reduce a window by ``min_reduction`` of their own size are
-    checked for their wording; ``max_difference`` bounds the differing words as a part of the template's, while a short statement
-    (under ``SHORT_WORDS`` words) has to stand as it is.  A null or empty text and a text without candidate blocks have
-    no matches.  Repeated rows stay; an empty table gives no rows.
+    """``keep`` with ``matches``: each copy of a template's wording in order, with its
+    lines (from 0), the size reduction as a part of the template's size, and the words
+    missing and between.
+
+    Every template of ``SHORT_WORDS`` words or more is looked for with at most
+    ``max_difference`` of its words differing and at least ``min_reduction`` saved; a
+    shorter statement has to stand as it is.  Copies may be wrapped or indented in any
+    way and stand in lines of any length.  Where copies overlap, the one with most of
+    its words there stays, then the one with fewest differences, then the larger
+    reduction.  A null or empty text has no matches.  Repeated rows stay; an empty
+    table or no templates give no rows or no matches.  Columns not named play no part.
     """
     names = [f"_k{i}" for i in range(len(keep))]
-    # The engine sorts out texts without any trigger; they don't go to Python.
+    marks = sorted(Scanner(templates, min_reduction, max_difference).marks)
+    # The engine sorts out texts without any marked word; they don't go to Python.
     whole = F.col(text)
-    df = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.when(whole.rlike(TRIGGER), whole).alias("_text"))
+    may = F.arrays_overlap(F.split(F.lower(whole), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, marks)).cast("array<string>"))
+    df = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.when(may, whole).alias("_text"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, min_reduction, max_difference)

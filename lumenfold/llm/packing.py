@@ -4,9 +4,9 @@ A document of T tokens is cut into pieces whose lengths are powers of two: as
 many of ``max_len`` as fit, then the binary digits of the rest, largest first.
 Each piece is a sequence of its own, so no sequence crosses documents, and since
 a power of two needs no padding there is none.  Pieces of one length share a
-bucket; a batch takes sequences from one bucket.
+bucket, and ``batches`` deals each bucket's sequences into batches.
 
-Nothing is shuffled: every piece follows from its own document.
+Packing shuffles nothing: every piece follows from its own document.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters on which the two libraries' Unicode tables or white space may differ: such texts take the plain way.
-_UNSURE = re.compile("[\x1c-\x1f\x85\u0870-\u089f\u0c5d\u0cdd\u1700-\u171f\u180e\u1c80-\u1c8f\u200b\u2c2f\u2c5f\ua7c0-\ua7ff\U00010000-\U0001efff\U0001fbf0-\U0001fbf9\U00020000-\U000323af]")
+from .common import Scratch
+from .prefix import prefix_sums
+
+#: Characters that both libraries put in the same classes (a test tries each of them); a text with any other takes the plain way.
+SURE = "\x00-\x1b\x20-\x84\x86-\u052f\u2010-\u2027\u20a0-\u20bf\u3001-\u30ff\u4e00-\u9fef\uac00-\ud7a3"
+_UNSURE = re.compile(f"[^{SURE}]")
 #: Fixed value: how a byte-level pre-tokenizer splits a text.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -105,8 +109,9 @@ def pack(docs: DataFrame, tokenizer: str, *, keep: tuple[str, ...] = ("doc_id",)
 
     ``keep`` names the columns that go along.  Results: ``start`` and ``length``
     (tokens within the document), ``ids`` (the piece, little-endian unsigned
-    32-bit), ``doc_tokens``, ``sequence_id`` (unique), ``offset`` (always 0: a
-    piece fills its sequence), ``bucket`` (log2 of the length).
+    32-bit), ``doc_tokens``, ``sequence_id`` (unique in this result; it numbers rows by
+    their place, so another partitioning of the input gives other numbers), ``offset``
+    (always 0: a piece fills its sequence), ``bucket`` (log2 of the length).
 
     A null or empty text gives one piece that holds ``end_id`` alone.  Repeated
     rows are packed as often as they occur.  An empty table gives no rows.
@@ -158,3 +163,16 @@ def pack(docs: DataFrame, tokenizer: str, *, keep: tuple[str, ...] = ("doc_id",)
         F.lit(0).cast("long").alias("offset"),
         F.log2("length").cast("int").alias("bucket"),
     )
+
+
+def batches(packed: DataFrame, sequences: int) -> DataFrame:
+    """``packed`` with ``batch`` and ``place``: sequences of one bucket, so of one length,
+    in batches of ``sequences`` (the last of a bucket may be smaller).  Batches count
+    from 0 in each bucket, places in each batch.  The order is by a hash of the ids, so
+    a batch mixes documents; a bucket is dealt out over as many tasks as it needs.  An
+    empty table gives no rows.
+    """
+    if sequences < 1:
+        raise ValueError("a batch holds one sequence at least")
+    ranked = prefix_sums(packed, ["bucket"], [F.xxhash64("ids"), F.col("sequence_id")], [], Scratch(packed.sparkSession))
+    return ranked.select(*packed.columns, F.floor(F.col("row_before") / sequences).alias("batch"), (F.col("row_before") % sequences).alias("place"))

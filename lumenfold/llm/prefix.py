@@ -3,7 +3,8 @@
 Rows are dealt out by ranges of (group, order), so each partition holds a
 contiguous run.  The totals of each group's part in each partition, summed in
 partition order, say where the part starts; a running sum inside the part does the
-rest.  A group of any size is spread over as many partitions as its rows need.
+rest.  A group of any size is spread over as many partitions as its rows need, and so
+are rows that tie on the whole order: their place in the input parts them.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[Column], measures:
     """``df`` with ``row_before`` and ``<measure>_before``: what stands before the row
     in its group.  Rows that tie on all of ``order`` may come in any order: they
     should be alike in what matters."""
-    parts = scratch.cut(df.repartitionByRange(*[F.col(g).asc_nulls_first() for g in group], *order).withColumn("_part", F.spark_partition_id()))
+    order = [*order, F.col("_tie")]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id())
+    parts = scratch.cut(dealt.repartitionByRange(*[F.col(g).asc_nulls_first() for g in group], *order).withColumn("_part", F.spark_partition_id()))
     keys = [*group, "_part"]
     totals = parts.groupBy(*keys).agg(F.count("*").alias("_t_row"), *[F.sum(m).alias(f"_t_{m}") for m in measures])
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

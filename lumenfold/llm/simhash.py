@@ -8,9 +8,13 @@ discarded; what is left is verified on the fingerprints.
 Pivots come as pairs: a random one, and the same with one band of bits turned.  The
 difference of the two distances depends on that band alone.  Two fingerprints that
 differ in d bits agree on all coordinates of at least (bands - d) bands, so equal
-coordinates of so many bands form the blocks in which pairs are looked at.  In
-blocks over a size, where many unlike fingerprints share their bands, links come
-from shared one-bit neighbours instead: work in proportion to the block, and exact.
+coordinates of so many bands form the blocks in which pairs are looked at.
+
+A large block is parted by plain coordinates as well: a fingerprint looks into its
+own cell of a few coordinates and into those that a difference of d reaches, and every
+pair within d bits meets in a cell.  What is dense even then, many fingerprints within
+a few bits of each other, no pivot can part: there links come from shared one-bit
+neighbours, which is exact too, and work in proportion to the cell.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from .components import components
 
 #: Bands of 16 bits, pivot pairs for each band, and pivots whose plain distances make the filter's coordinates.
 BANDS, PER_BAND, FILTER = 4, 8, 8
-#: Fingerprints of a block that are compared in pairs; a larger block takes the other, exact way.
+#: Fingerprints of a block or cell that are compared in pairs; larger blocks are parted into cells.
 PAIR_BLOCK = 128
+#: Coordinates that part a large block, and how many distances share a cell: a reach of 2 both ways meets two cells at most.
+PARTING, CELL = 4, 5
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -121,6 +127,33 @@ def _flips(fp: Column) -> Column:
     return F.array(fp, *[fp.bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in range(64)])
 
 
+def _cells(block: Column, coords: Column, max_bits: int) -> Column:
+    """Keys of the cells that a fingerprint looks into: its own, and those of all
+    coordinates up to ``max_bits`` larger.  Of two fingerprints within ``max_bits`` one
+    may be larger in one coordinate and smaller in another, so both sides look: in each
+    coordinate the reach covers both directions."""
+
+    def further(keys: Column, reach: Column) -> Column:
+        return F.flatten(F.transform(keys, lambda k: F.transform(reach, lambda c: F.xxhash64(k, c))))
+
+    keys = F.array(block)
+    for i in range(PARTING):
+        keys = further(keys, F.array_distinct(F.array(F.floor((coords[i] - max_bits) / CELL), F.floor((coords[i] + max_bits) / CELL))))
+    return keys
+
+
+def _cell(block: Column, coords: Column) -> Column:
+    key = block
+    for i in range(PARTING):
+        key = F.xxhash64(key, F.floor(coords[i] / CELL))
+    return key
+
+
+def _pairs(seekers: DataFrame, members: DataFrame, max_bits: int) -> DataFrame:
+    near = seekers.alias("x").join(members.alias("y"), "block").where(F.col("x.fp") < F.col("y.fp")).where(_near(max_bits))
+    return near.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
+
+
 def links(fps: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
     """(a, b) of fingerprints that connect all pairs within ``max_bits`` (1 or 2):
     every such pair is linked or joined by links."""
@@ -129,14 +162,26 @@ def links(fps: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
     blocks = scratch.cut(pivot_table(fps.select("fp").distinct(), max_bits).select("fp", "coords", F.explode("blocks").alias("block")))
     sizes = scratch.cut(blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1"))
     small = blocks.join(sizes.where(F.col("n") <= PAIR_BLOCK).select("block"), "block")
-    pairs = small.alias("x").join(small.alias("y"), "block").where(F.col("x.fp") < F.col("y.fp")).where(_near(max_bits)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    large = blocks.join(sizes.where(F.col("n") > PAIR_BLOCK).select("block"), "block").select("fp").distinct()
-    met = large.select("fp", F.explode(_flips(F.col("fp"))).alias("z"))
+    pairs = _pairs(small, small, max_bits)
+    if not sizes.where(F.col("n") > PAIR_BLOCK).limit(1).count():
+        return pairs
+    large = scratch.cut(blocks.join(sizes.where(F.col("n") > PAIR_BLOCK).select("block"), "block"))
+    homes = scratch.cut(large.select("fp", "coords", _cell(F.col("block"), F.col("coords")).alias("block")))
+    seekers = large.select("fp", "coords", F.explode(_cells(F.col("block"), F.col("coords"), max_bits)).alias("block"))
+    held = scratch.cut(homes.groupBy("block").agg(F.count("*").alias("n")))
+    parted = held.where(F.col("n") <= PAIR_BLOCK).select("block")
+    pairs = pairs.unionByName(_pairs(seekers.join(parted, "block"), homes.join(parted, "block"), max_bits))
+    # Dense cells: their own fingerprints and all that look into them.
+    dense = held.where(F.col("n") > PAIR_BLOCK).select("block")
+    if not dense.limit(1).count():
+        return pairs.distinct()
+    crowd = seekers.join(dense, "block").select("fp").distinct()
+    met = crowd.select("fp", F.explode(_flips(F.col("fp"))).alias("z"))
     if max_bits == 2:  # two fingerprints share a neighbour, or are one, just if they differ in 2 bits at most
         hubs = met.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("z", "b")
         starred = met.join(hubs, "z").where(F.col("fp") != F.col("b")).select(F.col("fp").alias("a"), "b")
     else:
-        starred = met.join(large.withColumnRenamed("fp", "b"), F.col("z") == F.col("b")).where(F.col("fp") < F.col("b")).select(F.col("fp").alias("a"), "b")
+        starred = met.join(crowd.withColumnRenamed("fp", "b"), F.col("z") == F.col("b")).where(F.col("fp") < F.col("b")).select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(starred).distinct()
 
 

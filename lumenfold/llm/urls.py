@@ -9,6 +9,7 @@ rules' expressions run.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,10 +55,22 @@ def path_segment(segment: str) -> Rule:
     return Rule(f"path:{segment}", "block", rf"/{re.escape(segment)}(?:/|\Z)", tuple(_TOKEN.findall(segment)))
 
 
-#: Words of hosts and path segments that are blocked.
-BLOCKED_HOST_WORDS = ("spam", "casino", "porn", "xxx", "poker", "viagra", "warez", "torrent", "gambling", "phishing")
-BLOCKED_SEGMENTS = ("cgi-bin", "wp-login.php", "xmlrpc.php", "casino", "porn", "viagra")
-PATTERN_RULES = (*map(host_word, BLOCKED_HOST_WORDS), *map(path_segment, BLOCKED_SEGMENTS))
+def path_ending(ending: str) -> Rule:
+    """Blocks paths that end in this file ending."""
+    return Rule(f"ending:{ending}", "block", rf"/[^/]*\.{re.escape(ending)}\Z", (ending,))
+
+
+#: Words of hosts, path segments and file endings that are blocked.
+BLOCKED_HOST_WORDS = (
+    "adult", "bet", "bets", "betting", "casino", "casinos", "cialis", "escort", "escorts", "gambling", "hentai", "jackpot", "keygen", "lottery", "malware", "phishing",
+    "pills", "poker", "porn", "porno", "roulette", "sex", "slots", "spam", "torrent", "torrents", "viagra", "warez", "webcam", "xxx",
+)
+BLOCKED_SEGMENTS = (
+    "admin", "basket", "calendar", "cart", "casino", "cgi-bin", "checkout", "login", "login.php", "logout", "password-reset", "porn", "register", "signin", "signup", "trackback",
+    "viagra", "wp-admin", "wp-json", "wp-login.php", "xmlrpc.php", "xxx",
+)
+BLOCKED_ENDINGS = ("apk", "avi", "bmp", "css", "dmg", "exe", "gif", "gz", "ico", "iso", "jpeg", "jpg", "js", "mov", "mp3", "mp4", "png", "rar", "svg", "tar", "webp", "woff", "zip")
+PATTERN_RULES = (*map(host_word, BLOCKED_HOST_WORDS), *map(path_segment, BLOCKED_SEGMENTS), *map(path_ending, BLOCKED_ENDINGS))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -125,11 +138,22 @@ def judge(urls: DataFrame, rules: list[Rule] | tuple[Rule, ...], *, keep: tuple[
     return df.select(*[F.col(a).alias(c) for c, a in zip(keep, names)], "host", "path", "rule", "level", "verdict")
 
 
+#: The last index of each Python worker, by the number of its pass.
+_indexes: dict[str, Index] = {}
+
+
 def _pass(df: DataFrame, rules: list[Rule], counts: dict[str, int], default: str) -> DataFrame:
-    counts = {t: counts.get(t, 0) for r in rules for t in r.literals}
+    # RULES_PER_PASS rules at most.
+    sent = df.sparkSession.sparkContext.broadcast((rules, {t: counts.get(t, 0) for r in rules for t in r.literals}))
+    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(rules, counts)
+        from lumenfold.llm import urls
+
+        if number not in urls._indexes:  # expressions are compiled once for each worker
+            urls._indexes.clear()
+            urls._indexes[number] = Index(*sent.value)
+        index = urls._indexes[number]
         for b in batches:
             n = b.num_columns - 7
             cols: list[list] = [[] for _ in range(6)]

@@ -16,6 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,14 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Headers that say what a record itself is; its derivatives have their own and keep all others as they are.
 OWN_HEADERS = frozenset("warc-type warc-record-id warc-refers-to content-type content-length warc-block-digest warc-payload-digest warc-source-payload-digest warc-source-block-digest warc-segment-number warc-segment-origin-id warc-segment-total-length".split())
 
-_HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)")
-_BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""")
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+#: Elements whose text is not shown, those of them whose content is no markup, and elements that begin a line.
+HIDDEN = frozenset("head noscript script style template".split())
+RAW = frozenset("script style".split())
+BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table td th tr ul".split())
+_OPEN = re.compile(r"<(?:!--|[/!?a-zA-Z])")
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_LANG = re.compile(r"""(?is)\blang\s*=\s*["']?([\w-]+)""")
+_HREF = re.compile(r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 
 
 def digest(block: bytes) -> str:
@@ -43,26 +46,84 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(31).join(parts))}>"
 
 
-def plain_text(page: str) -> str:
+@dataclass
+class Page:
+    """What one pass over a page's tags gives."""
+
+    shown: list[str] = field(default_factory=list)
+    title: str | None = None
+    lang: str | None = None
+    links: dict[str, None] = field(default_factory=dict)
+
+
+def scan_page(page: str) -> Page:
+    """Title, language, links and visible pieces, in one pass from left to right.
+
+    Every search goes on where the last one ended, and a closing tag that was not
+    found once isn't looked for again, so the work is in proportion to the page
+    whatever it holds.  A tag without an end takes the rest of the page, as does an
+    element whose content isn't shown and that is never closed.
+    """
+    out, low, at, hidden = Page(), page.lower(), 0, ""
+    if len(low) != len(page):  # letters whose lower case is longer would shift the places
+        low = "".join(c.lower() if c.isascii() else c for c in page)
+    title_from = -1
+    absent: set[str] = set()
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if not hidden:
+            out.shown.append(page[at:start])
+        if m[0] == "<!--":
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            out.shown.append("" if hidden else " ")
+            continue
+        end = page.find(">", start)
+        tag, at = page[start + 1 : len(page) if end < 0 else end], len(page) if end < 0 else end + 1
+        if not (n := _NAME.match(tag)):
+            continue
+        name, closing = n[1].lower(), tag[0] == "/"
+        if name == "title":
+            if closing and title_from >= 0 and out.title is None:
+                out.title = _one_line(page[title_from:start])
+            title_from = -1 if closing else at
+        elif not closing and name == "html" and out.lang is None and (found := _LANG.search(tag)):
+            out.lang = found[1].lower()
+        elif not closing and name == "a" and (found := _HREF.search(tag)):
+            out.links.setdefault(_one_line(next(g for g in found.groups() if g is not None)))
+        if not closing and name in RAW:
+            close = -1 if name in absent else low.find("</" + name, at)
+            if close < 0:
+                absent.add(name)
+            at = len(page) if close < 0 else close
+        if hidden:
+            if (closing and name == hidden) or (hidden == "head" and name == "body"):
+                hidden = ""
+                out.shown.append("\n" if name in BLOCKS else " ")
+        elif not closing and name in HIDDEN:
+            hidden = name
+        elif name in BLOCKS:
+            out.shown.append("\n")
+    if not hidden:
+        out.shown.append(page[at:])
+    return out
+
+
+def plain_text(page: Page) -> str:
     """The visible text: a line for each block, white space joined, entities decoded."""
-    shown = _TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page)))
-    return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape(shown).split("\n")) if x)
+    return "\n".join(x for x in (" ".join(line.split()) for line in html.unescape("".join(page.shown)).split("\n")) if x)
 
 
 def _one_line(value: str) -> str:
     return " ".join(html.unescape(value).split())
 
 
-def page_facts(page: str) -> list[tuple[str, str]]:
+def page_facts(page: Page) -> list[tuple[str, str]]:
     """(field, value) of a metadata record's body."""
-    out = []
-    if m := _TITLE.search(page):
-        out.append(("title", _one_line(m[1])))
-    if m := _LANG.search(page):
-        out.append(("languages-declared", m[1].lower()))
-    visible = re.sub(r"(?s)<!--.*?(?:-->|\Z)", " ", page)
-    seen = dict.fromkeys(_one_line(next(g for g in m.groups() if g is not None)) for m in _LINK.finditer(visible))
-    return out + [("outlink", u) for u in seen if u]
+    out = [] if page.title is None else [("title", page.title)]
+    if page.lang:
+        out.append(("languages-declared", page.lang))
+    return out + [("outlink", u) for u in page.links if u]
 
 
 def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -70,18 +131,78 @@ def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of each record of an uncompressed WARC file."""
+@dataclass
+class Record:
+    """A record as it stands in a file; ``error`` says why it can't be read whole."""
+
+    headers: list[tuple[str, str]]
+    block: bytes
+    error: str | None = None
+
+
+def inflated(data: bytes) -> tuple[bytes, str | None]:
+    """The bytes of a gzip file, member by member, and what is wrong with it; other data as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data) + member.flush())
+        except zlib.error as e:
+            return b"".join(out), f"gzip: {e}"
+        if not member.eof:
+            return b"".join(out), "gzip: the file ends inside a member"
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join(out), "gzip: no member after the last one" if data else None
+
+
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_RECORD_START = re.compile(rb"(?:\A|(?<=\n))WARC/\d")
+
+
+def _headers(head: bytes) -> list[tuple[str, str]]:
+    """Names and values; a line that begins with white space continues the one before."""
+    out: list[tuple[str, str]] = []
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def parse(data: bytes) -> Iterator[Record]:
+    """Each record of a WARC file.  Where a record can't be read, what there is of it
+    comes with an error, and reading goes on at the next line that begins a record."""
+    data, wrong = inflated(data)
     at = 0
     while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        lines = data[at:head].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = [(k, v.removeprefix(" ")) for k, _, v in (x.partition(":") for x in lines[1:])]
-        size = int({k.lower(): v for k, v in headers}["content-length"])
-        yield headers, data[head + 4 : head + 4 + size]
-        at = head + 4 + size + 4
+        found = _RECORD_START.search(data, at)
+        if (junk := data[at : found.start() if found else len(data)]).strip():
+            yield Record([], junk, f"no record at byte {at}")
+        if not found:
+            break
+        at = found.start()
+        head = _HEAD_END.search(data, at)
+        if not head:
+            yield Record(_headers(data[at:]), b"", "the file ends inside a record's head")
+            break
+        headers = _headers(data[at : head.start()])
+        named = next((v for k, v in headers if k.lower() == "content-length"), "")
+        if not named.isascii() or not named.isdigit():
+            after = _RECORD_START.search(data, head.end())
+            at = after.start() if after else len(data)
+            yield Record(headers, data[head.end() : at], f"Content-Length is {named!r}")
+            continue
+        at = head.end() + int(named)
+        if at > len(data):
+            yield Record(headers, data[head.end() :], "the file ends inside a record's block")
+            break
+        yield Record(headers, data[head.end() : at])
+    if wrong:
+        yield Record([], b"", wrong)
 
 
 _CHARSET = re.compile(rb"""(?i)charset\s*=\s*["']?([\w.:-]+)""")
@@ -179,14 +300,15 @@ def derive(source: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFr
 
 
 def _derivatives(source_id: str, source: dict[str, str], page: str, payload: bytes | None) -> list[tuple]:
-    facts = page_facts(page)
+    scanned = scan_page(page)
+    facts = page_facts(scanned)
     named = {k.lower(): v for k, v in source.items()}
     paid = named.get("warc-payload-digest") or digest(page.encode("utf-8", "replace") if payload is None else payload)
     whole = named.get("warc-block-digest")
     made = []
     for kind, mime, block in (
         ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in facts)),
-        ("conversion", "text/plain; charset=utf-8", plain_text(page)),
+        ("conversion", "text/plain; charset=utf-8", plain_text(scanned)),
     ):
         raw = block.encode("utf-8", "replace")
         own, sum_ = record_id(kind, source_id), digest(raw)
@@ -203,21 +325,39 @@ def _header(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
+#: Bytes of payloads that leave a task at once.
+_FLUSH_BYTES = 8 << 20
+_READ = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.string()), ("payload_bytes", pa.binary()), ("error", pa.string())])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of uncompressed WARC files: ``record_id``, ``warc_type``, ``headers``,
-    ``payload`` (the text, without an HTTP head) and ``payload_bytes`` (as they stand)."""
+    """Records of WARC files, plain or gzip: ``record_id``, ``warc_type``, ``headers``,
+    ``payload`` (the text, without an HTTP head), ``payload_bytes`` (as they stand) and
+    ``error`` (null for a whole record; see ``parse``).
+
+    Header names keep their spelling, and of repeated names the last one stays.  A file
+    is a row of Spark's binary source, so it is held whole by one task and has at most
+    2 GB; its records leave in small batches.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                got = list(parse(data.as_py()))
-                heads = [dict(h) for h, _ in got]
-                low = [{k.lower(): v for k, v in h} for h, _ in got]
-                parts = [http_parts(x) if h.get("content-type", "").lower().startswith("application/http") else (b"", x) for h, (_, x) in zip(low, got)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h.get("warc-record-id") for h in low], pa.string()), pa.array([h.get("warc-type") for h in low], pa.string()), pa.array([list(h.items()) for h in heads], pa.map_(pa.string(), pa.string())), pa.array([decoded(*x) for x in parts], pa.string()), pa.array([x for _, x in parts], pa.binary())],
-                    names=["record_id", "warc_type", "headers", "payload", "payload_bytes"],
-                )
-
-    return files.mapInArrow(split, "record_id string, warc_type string, headers map<string,string>, payload string, payload_bytes binary")
+                rows, size = [], 0
+                for r in parse(data.as_py()):
+                    low = {k.lower(): v for k, v in r.headers}
+                    head, payload = http_parts(r.block) if low.get("content-type", "").lower().startswith("application/http") else (b"", r.block)
+                    rows.append((low.get("warc-record-id"), low.get("warc-type"), list(dict(r.headers).items()), decoded(head, payload), payload, r.error))
+                    size += len(payload)
+                    if size > _FLUSH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
+
+    return files.mapInArrow(split, "record_id string, warc_type string, headers map<string,string>, payload string, payload_bytes binary, error string")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _READ)], schema=_READ)

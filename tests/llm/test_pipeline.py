@@ -77,6 +77,63 @@ def test_repeated_rows_and_null_keys(spark):
     assert neardup.drop_near_copies(df.where("false")).count() == 0
 
 
+def test_columns_may_have_any_names(spark):
+    base = " ".join(f"q{i}" for i in range(40))
+    rows = [(1, base, "a", "b", 3, 4, "z"), (2, base + " end", "a", "b", 3, 4, "z"), (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, tid string, fp long, bands long, _c0 string")
+    got = neardup.drop_near_copies(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_pairs_at_the_stated_similarity_are_found(spark):
+    """Recall of single links between 0.8 and 0.95, through bands, fingerprints and verification."""
+    draw = random.Random(31)
+    rows = []
+    for i in range(300):
+        n = draw.choice([60, 200, 500])
+        words = [f"w{draw.randrange(10**6)}" for _ in range(n)]
+        # A new word breaks five shingles of n: so many that the similarity stays at 0.8 or just over.
+        other = list(words)
+        most = max(1, int((n - 4) / 9 / 5))
+        for at in draw.sample(range(n), draw.randint(1, most)):
+            other[at] = f"x{draw.randrange(10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = [shingles(t) for _, t in rows]
+    near = [i for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    kept = {r.doc_id for r in neardup.drop_near_copies(frame(spark, rows)).collect()}
+    assert len(near) > 250 and sum(i + 1 not in kept for i in near) >= 0.99 * len(near)
+    assert all(i + 1 in kept for i in range(0, len(rows), 2) if i not in near)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """An empty table, then nulls in all columns, empty texts, repeated rows."""
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    clean = [tuple(r) for r in source.where("lang is not null and n_chars between 1500 and 4000").limit(12).collect()]
+    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (None, "short one", None, None, 9), (2, clean[0][1], None, None, None), (2, clean[0][1], None, None, None)]
+    for name, rows in (("none", []), ("odd", clean + odd)):
+        d = str(tmp_path / name)
+        spark.createDataFrame(rows, source.schema).write.parquet(f"{d}/documents.parquet")
+        bench.where("false" if not rows else "true").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert bool(got) == bool(rows)
+        texts = {(r.doc_id, r.start, r.length) for r in got}
+        assert len(texts) == len(got) and None not in {r.doc_id for r in got}
+
+
+def test_language_stage_names_each_document_s_language(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    from pyspark.sql import functions as F
+
+    part = F.col("doc_id") % 4 == 0
+    hidden = docs.withColumn("lang", F.when(~part, F.col("lang")))
+    want = {r.doc_id: r.lang for r in docs.where(part & F.col("n_chars").between(400, 10**6)).collect()}
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, hidden, d).where(part).collect()}
+    assert sum(got.get(i) == lang for i, lang in want.items()) >= 0.97 * len(want) > 0
+    assert corpus_pipeline.language(spark, docs.where("false"), d).count() == 0
+
+
 def test_stages(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")

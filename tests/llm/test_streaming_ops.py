@@ -61,9 +61,98 @@ def test_pack_round_trip(spark):
     assert packing.pack(frame(spark, rows).where("false"), path).count() == 0
 
 
+def test_sure_characters_are_in_the_same_classes():
+    """Each character that may take the fast way, among letters, digits, spaces and itself."""
+    import re
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    assert enc.fast is not None
+    chars = [c for c in map(chr, range(0x20000)) if re.fullmatch(f"[{packing.SURE}]", c)]
+    assert len(chars) > 30_000
+    texts = ["".join(f"a{c}b {c}1{c} {c}{c}.{c}\n" for c in chars[i : i + 8]) for i in range(0, len(chars), 8)]
+    texts += [f"{c} x" for c in chars[:0x600]] + [f"x {c}" for c in chars[:0x600]]
+    assert not any(packing._UNSURE.search(t) for t in texts)
+    for t, want in zip(texts, tok.encode_batch(texts, add_special_tokens=False)):
+        assert enc.encode(t) == np.asarray(want.ids, "<u4").tobytes(), t
+
+
+def test_pack_query_against_the_library(spark):
+    """The query's pieces, cut anew from what the library says of each whole text."""
+    from tokenizers import Tokenizer
+
+    from lumenfold.llm.queries import op7_packing
+
+    d = "/root/testdata/sf0.01"
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        at = 0
+        while at < len(ids):
+            n = 2048
+            while n > len(ids) - at:
+                n //= 2
+            want.append((r.doc_id, at, n, zlib.crc32(np.asarray(ids[at : at + n], "<u4").tobytes()), len(ids), 0))
+            at += n
+    got = op7_packing(spark, d).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.offset) for r in got) == sorted(want)
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
+def test_batches_hold_equal_lengths(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = packing.pack(frame(spark, [(i, "word " * i) for i in range(1, 60)] + [(7, None), (7, None)]), path, max_len=16)
+    got = packing.batches(packed, 5).collect()
+    assert len(got) == packed.count()
+    held = {}
+    for r in got:
+        held.setdefault((r.bucket, r.batch), []).append(r.place)
+        assert r.length == 1 << r.bucket
+    assert all(sorted(p) == list(range(len(p))) and len(p) <= 5 for p in held.values())
+    for bucket in {b for b, _ in held}:
+        own = sorted(n for b, n in held if b == bucket)
+        assert own == list(range(len(own))) and all(len(held[bucket, n]) == 5 for n in own[:-1])
+    assert packing.batches(packed.where("false"), 5).count() == 0
+
+
 # -- decontamination
 
 
+def test_blocks_part_long_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 25)
+    items = [(1, " ".join(f"w{i}" for i in range(100))), (2, "a b"), (3, None), (4, "")]
+    blocks = list(decontaminate._blocks(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 10))
+    assert all(sum(len(decontaminate.words_of(t)) for _, t in b) <= 25 for b in blocks)
+    wins = {tuple(ws[a : a + 10]) for b in blocks for _, t in b for ws in [t.split()] for a in range(len(ws) - 9)}
+    assert wins == {tuple(f"w{i + k}" for k in range(10)) for i in range(91)}
+
+
+@pytest.mark.parametrize("block", [200_000, 20])
+def test_remove_on_odd_tables(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    item = " ".join(f"w{j}" for j in range(30))
+    rows = [(1, None, "a"), (2, "", "b"), (3, item, "c"), (4, f"{item} " + "x " * 90, "d"), (4, f"{item} " + "x " * 90, "d"), (None, "free", None)]
+    df = spark.createDataFrame(rows, "tid long, text string, spans string").withColumnRenamed("spans", "own")
+    bench = spark.createDataFrame([(7, item), (8, "other " * 30), (9, None)], "item_id long, text string")
+    got = decontaminate.remove(df, bench)
+    assert got.columns == df.columns
+    assert sorted(((r.tid, r.text and r.text.split(), r.own) for r in got.collect()), key=str) == sorted([(1, None, "a"), (2, "", "b"), (4, ["x"] * 90, "d"), (4, ["x"] * 90, "d"), (None, ["free"], None)], key=str)
+    assert decontaminate.remove(df.where("false"), bench).count() == 0
+    assert sorted(decontaminate.remove(df, bench.where("false")).collect(), key=str) == sorted(df.collect(), key=str)
+    assert decontaminate.find(df.where("false"), bench, keep=("tid",)).count() == 0
+
+
+def test_automaton_of_a_block_stays_flat():
+    draw = random.Random(3)
+    items = [(str(i), " ".join(f"w{draw.randrange(5000)}" for _ in range(200))) for i in range(100)]
+    auto = decontaminate.Automaton(items, 10)
+    assert len(auto._len) <= 2 * 20_000 and len(auto._more) <= 3 * 20_000
+    assert len(auto._word) == len(auto._to) == len(auto._link) == len(auto._set_of) == len(auto._end_of) == len(auto._len)
+
+
 def brute(docs, items, w=10):
     import re
 
@@ -183,6 +272,39 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in got)
 
 
+def test_language_query_against_exact_ngrams(spark):
+    """Sets of n-grams in place of the Bloom filter say the same language and nearly the same score."""
+    from lumenfold.llm.queries import op3_language_id
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect()
+    fold = lambda t: "  " + "".join(c.lower() if c.isascii() else c for c in "".join(c if c.isalpha() or ord(c) > 127 else " " for c in t)) + "  "
+
+    def ngrams(t):
+        b = fold(t).encode()
+        return [g for g in (b[i : i + 5] for i in range(len(b) - 4)) if b"  " not in g]
+
+    counts = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            own = counts.setdefault(r.lang, {})
+            for g in ngrams(r.text):
+                own[g] = own.get(g, 0) + 1
+    held = {lang: {g for g, n in own.items() if n >= 2e-5 * sum(own.values())} for lang, own in counts.items()}
+    got = {r.doc_id: r for r in op3_language_id(spark, d).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        own = ngrams(r.text)
+        hits = {lang: sum(g in s for g in own) for lang, s in held.items()}
+        ranked = sorted(hits.values(), reverse=True)
+        if own and ranked[0] > 1.05 * ranked[1]:
+            assert got[r.doc_id].lang_pred == max(hits, key=hits.get)
+            assert abs(got[r.doc_id].score - ranked[0] / len(own)) < 0.05
+
+
 # -- SimHash
 
 
@@ -221,6 +343,8 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, block, bits):
             if draw.random() < 0.6:
                 x ^= 1 << draw.randrange(64)
             fps.add(x)
+    if block == 2:  # a crowd within a few bits of each other, which no pivot parts
+        fps |= {x ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(12)}
     fps = sorted(map(simhash._signed, fps))
     scratch = Scratch(spark)
     got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), bits, scratch), scratch).collect()}
@@ -229,6 +353,19 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, block, bits):
     assert {x: got.get(x, x) for x in fps} == want
 
 
+def test_cells_keep_all_near_pairs(spark):
+    """Pairs within two bits in one block meet in the seeker's cells."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(21)
+    base = [draw.getrandbits(64) for _ in range(200)]
+    rows = [(i, simhash._signed(x ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64))), simhash._signed(x)) for i, x in enumerate(base)]
+    df = spark.createDataFrame(rows, "i long, p long, q long")
+    coords = lambda c: F.array(*[simhash._distance(F.col(c), p) for p in simhash.pivots()[1]])
+    for a, b in (("p", "q"), ("q", "p")):
+        assert df.where(~F.array_contains(simhash._cells(F.lit(1).cast("long"), coords(a), 2), simhash._cell(F.lit(1).cast("long"), coords(b)))).count() == 0
+
+
 def test_near_duplicates(spark):
     draw = random.Random(2)
     base = [f"w{draw.randrange(500)}" for _ in range(300)]
@@ -268,3 +405,47 @@ def test_decontamination_query_on_the_tables(spark):
     for r in got:
         n, h, found = want[r.doc_id]
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (n, h, len(found), hashlib.sha256(",".join(found).encode()).hexdigest())
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from lumenfold.llm import common
+
+    def session(master, named=None):
+        conf = SimpleNamespace(get=lambda k, d=None: named)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="a", getConf=lambda: conf))
+
+    assert common.scratch_root(session("spark://host", "hdfs://x/")) == "hdfs://x/lumenfold-a"
+    for master in ("spark://host", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            common.scratch_root(session(master))
+
+
+def test_a_scope_drops_what_was_written_inside(spark):
+    from lumenfold.llm.common import scope
+
+    outer = Scratch(spark)
+    with scope():
+        kept = outer.cut(Scratch(spark).cut(spark.range(5)))
+        inner = Scratch(spark).cut(spark.range(7)).inputFiles()[0]
+    import os
+
+    assert kept.count() == 5 and not os.path.exists(inner.removeprefix("file:"))
+
+
+def test_prefix_sums_part_rows_that_tie(spark):
+    """Rows equal in the whole order are dealt over several partitions."""
+    from pyspark.sql import functions as F
+
+    from lumenfold.llm.prefix import prefix_sums
+
+    df = spark.range(4000).select(F.lit(1).alias("g"), F.lit(2).alias("o"), F.lit(3).cast("long").alias("n")).repartition(8)
+    scratch = Scratch(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = prefix_sums(df, ["g"], [F.col("o")], ["n"], scratch).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.row_before, r.n_before) for r in got) == [(i, 3 * i) for i in range(4000)]
+    assert spark.read.parquet(scratch.made[0]).select("_part").distinct().count() > 1
