@@ -119,13 +119,36 @@ def analyze(t: dict[str, DataFrame], targets: DataFrame) -> dict[str, DataFrame]
     found = best.join(safe_nodes, "node", "left_semi").join(live, "node", "left").join(production, "node", "left")
     lp, ln = F.coalesce("live_production", F.lit(False)), F.coalesce("live_nonproduction", F.lit(False))
     findings = found.select("node", "best.*", F.when(~lp & ~ln, "dead").otherwise("unnecessary_public").alias("finding"), lp.alias("live_production"), ln.alias("live_nonproduction"), F.col("in_production").isNull().alias("test_compiled_only"))
-    return {"definitions": d, "edges": e, "roots": roots, "required": required, "live": live, "candidates": best, "suppressed": suppressed, "findings": findings, "errors": errors}
+    return {"definitions": d, "edges": e, "roots": roots, "crossing_roots": crossing.where("class = 'production'").select(F.col("dst").alias("state"), "class").distinct(), "required": required, "live": live, "candidates": best, "suppressed": suppressed, "findings": findings, "errors": errors}
 
 
 def summary(a: dict[str, DataFrame]) -> DataFrame:
-    """One row of counts."""
-    counts = a["findings"].agg(F.count_if(F.col("finding") == "dead").alias("dead"), F.count_if(F.col("finding") == "unnecessary_public").alias("narrowable"))
-    return counts.crossJoin(a["required"].join(a["candidates"], "node", "left_semi").agg(F.count("*").alias("required"))).crossJoin(a["candidates"].agg(F.count("*").alias("candidates")))  # one row each
+    """One row of the nine counts."""
+    one = lambda df, *cols: df.agg(*cols)
+    rows = F.count("*")
+    roots = a["roots"].where("kind <> 'required_public'").select("state", "class").unionByName(a["crossing_roots"]).distinct()
+    parts = [
+        one(a["definitions"].select("node").distinct(), rows.alias("definition_nodes")),
+        one(a["edges"], rows.alias("reference_edges")),
+        one(roots, F.count_if(F.col("class") == "production").alias("production_roots"), F.count_if(F.col("class") == "nonproduction").alias("nonproduction_roots")),
+        one(a["live"], F.count_if("live_production").alias("production_live"), F.count_if("live_nonproduction").alias("nonproduction_live")),
+        one(a["candidates"], rows.alias("public_candidates")),
+        one(a["findings"], F.count_if(F.col("finding") == "dead").alias("dead_public"), F.count_if(F.col("finding") == "unnecessary_public").alias("unnecessary_public")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    return out
+
+
+def shown_path(source: DataFrame, root: str) -> DataFrame:
+    """``source`` (package, local_path, remapped_path, generated, source_hash_algorithm,
+    source_hash) with ``shown``: authored files relative to ``root``, generated ones by a
+    label that no build's folder changes: owner, digest's first 16 digits, file name."""
+    name = F.element_at(F.split("local_path", "/"), -1)
+    label = F.concat(F.lit("<generated>/"), F.col("package"), F.lit("/"), F.col("source_hash_algorithm"), F.lit("-"), F.substring("source_hash", 1, 16), F.lit("/"), F.when(name == "", "generated.rs").otherwise(name))
+    relative = F.when(F.startswith("local_path", F.lit(root + "/")), F.substr("local_path", F.lit(len(root) + 2))).otherwise(F.col("local_path"))
+    return source.withColumn("shown", F.when(F.col("generated"), label).otherwise(F.regexp_replace(relative, r"\\", "/")))
 
 
 def required_visibility(a: dict[str, DataFrame]) -> DataFrame:
@@ -143,8 +166,17 @@ def select(a: dict[str, DataFrame], package: str, path: str, location: tuple[str
     return d.select(F.coalesce("token", "node").alias("physical"), "node", "state", "invocation", "package", "target", "definition_path", "kind", "source_path", "span")
 
 
+def choices(a: dict[str, DataFrame], selected: DataFrame, path: str) -> DataFrame:
+    """What a query that names no declaration, or several, may have meant: those it names,
+    else all of its last name, each with its place, in order."""
+    last = F.element_at(F.split("definition_path", "::"), -1)
+    named = selected if not selected.isEmpty() else a["definitions"].where(last == path.rsplit("::", 1)[-1])
+    at = [F.col("span.line").alias("line"), F.col("span.column").alias("column")]
+    return named.select("package", "definition_path", "kind", "source_path", *at).distinct().orderBy("package", "definition_path", "source_path", "line", "column")
+
+
 def impact(a: dict[str, DataFrame], selected: DataFrame) -> dict[str, DataFrame] | None:
-    """Who depends on one declaration; None if it is not exactly one.
+    """Who depends on one declaration; None if it is not exactly one (see ``choices``).
 
     direct: references into it; consumers: all that reach it, by physical declaration,
     without itself; witnesses: a shortest path for each class of provenance;
@@ -160,14 +192,17 @@ def impact(a: dict[str, DataFrame], selected: DataFrame) -> dict[str, DataFrame]
     levels = fixpoint.cut(graph.reverse_levels(e.select("src", "dst").distinct(), states))
     met = fixpoint.cut(levels.join(nodes.withColumnRenamed("node", "item"), F.col("node") == F.col("_s")).join(selected.select("physical").distinct(), "physical", "left_anti"))
     consumers = met.groupBy("physical").agg(F.min("level").alias("level"), F.min("definition_path").alias("definition_path"))
-    paths = graph.witness_paths(levels, met.select("node")) if not met.isEmpty() else None
+    # Only the nearest consumers of each class can have its shortest path.
+    nearest = met.join(met.groupBy(F.col("class").alias("_c")).agg(F.min("level").alias("_l")), (F.col("class") == F.col("_c")) & (F.col("level") == F.col("_l")), "left_semi")
     first = None
-    if paths is not None:
-        named = paths.join(met.select("node", "class"), "node")
-        key = F.struct(F.size("path").alias("steps"), F.array_join("path", ">").alias("key"))
-        first = named.groupBy("class").agg(F.min_by(F.struct("path", (F.size("path") - 1).alias("steps")), key).alias("w")).select("class", "w.path", "w.steps")
+    if not met.isEmpty():
+        named = graph.witness_paths(levels, nearest.select("node").distinct()).join(nearest.select("node", "class").distinct(), "node")
+        # Ties go by the text of the path's items, which no run's ids change.
+        texts = fixpoint.cut(named.select("class", "path", F.posexplode("path").alias("n", "at")).join(nodes.select(F.col("_s").alias("at"), F.concat_ws(" ", "package", "definition_path").alias("text")).distinct(), "at", "left"))
+        key = texts.groupBy("class", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("texts"))
+        first = key.groupBy("class").agg(F.min_by(F.struct("path", "texts", (F.size("path") - 1).alias("steps")), F.struct(F.size("path").alias("s"), "texts", "path")).alias("w")).select("class", "w.path", "w.texts", "w.steps")
     shared = d.join(selected.select(F.col("physical")).distinct(), F.coalesce(d["token"], d["node"]) == F.col("physical"), "left_semi").select("node").distinct()
     any_of = lambda t, name: shared.join(t.select("node").distinct(), "node", "left_semi").agg((F.count("*") > 0).alias(name))
     flags = any_of(a["required"], "required").crossJoin(any_of(a["suppressed"], "suppressed")).crossJoin(any_of(a["findings"], "finding")).crossJoin(any_of(a["findings"].where("finding = 'dead'"), "dead")).crossJoin(any_of(a["candidates"], "candidate"))  # one row each
     disposition = F.when(F.col("required"), "required_public").when(F.col("suppressed"), "suppressed").when(F.col("dead"), "dead").when(F.col("finding"), "unnecessary_public").when(F.col("candidate"), "public").otherwise("not_a_candidate")
-    return {"direct": direct.orderBy(F.desc("authored"), "package", "definition_path", "line", "column"), "consumers": consumers, "witnesses": first, "disposition": flags.select(disposition.alias("disposition"))}
+    return {"direct": direct.orderBy(F.desc("authored"), "package", "definition_path", "line", "column"), "consumers": consumers, "consumer_count": consumers.agg(F.count_distinct("physical").alias("consumers")), "witnesses": first, "disposition": flags.select(disposition.alias("disposition"))}

@@ -61,6 +61,20 @@ def unit_ledger(expected: DataFrame, observed: DataFrame) -> DataFrame:
     return facts.ledger(expected, observed, UNIT)
 
 
+def missing_failed(expected: DataFrame, observed: DataFrame, failure: DataFrame) -> DataFrame:
+    """(unit, missing): how many facts the units of failed targets lack."""
+    e = expected.groupBy(*UNIT).agg(F.count("*").alias("expected"))
+    o = observed.groupBy(*UNIT).agg(F.count("*").alias("observed"))
+    keys = ["package_id", "target_name", "target_kinds", "target_crate_types", "target_source"]
+    failed = e.join(failure.select(*keys).distinct(), keys, "left_semi")
+    left, right = failed.alias("e"), o.alias("o")
+    on = F.lit(True)
+    for k in UNIT:
+        on = on & F.col(f"e.{k}").eqNullSafe(F.col(f"o.{k}"))
+    missing = F.greatest(F.col("expected") - F.coalesce("observed", F.lit(0)), F.lit(0)).cast("long")
+    return left.join(right, on, "left").select(*[F.col(f"e.{k}").alias(k) for k in UNIT], missing.alias("missing")).where("missing > 0")
+
+
 def script_cfg(outputs: DataFrame, profile: DataFrame) -> DataFrame:
     """(package_id, cfg): what a build script sets and the unit over the same folder
     doesn't observe.  outputs: package_id, out_dir, cfg; profile: package_id, out_dir, cfg."""

@@ -54,6 +54,25 @@ def measured(files: DataFrame, profile: cfg.Profile | None = None, packages: lis
     return files.select("snapshot", "path", "content").mapInArrow(run, MEASURED)
 
 
+def expanded(files: DataFrame, load, measure=measured) -> DataFrame:
+    """``files`` as ``measured`` gives them, with those that only their module edges reach.
+
+    ``load`` takes (snapshot, path) of candidates that were never asked for and gives the
+    files that exist (snapshot, path, content); each round measures only these.  Files
+    given at first have ``found`` false, the others true."""
+    known = fixpoint.cut(files.withColumn("found", F.lit(False)))
+    asked = fixpoint.cut(known.select("snapshot", "path"))
+    new = known
+    while True:
+        edges = new.select("snapshot", F.explode("edges").alias("e")).select("snapshot", F.explode("e.candidates").alias("path")).distinct()
+        wanted = fixpoint.cut(edges.join(asked, ["snapshot", "path"], "left_anti"))
+        if wanted.isEmpty():
+            return known
+        asked = fixpoint.cut(asked.unionByName(wanted))
+        new = fixpoint.cut(measure(load(wanted)).withColumn("found", F.lit(True)))
+        known = fixpoint.cut(known.unionByName(new))
+
+
 def _node(snapshot, path):
     return F.concat(snapshot, F.lit("\x1f"), path)
 
@@ -113,7 +132,8 @@ def by_role(files: DataFrame, ctx: DataFrame) -> DataFrame:
 
 
 def report(files: DataFrame, targets: DataFrame | None = None) -> dict[str, DataFrame]:
-    """``files`` as ``measured`` gives them -> the tables of a report.
+    """``files`` as ``measured`` or ``expanded`` gives them -> the tables of a report.
+    Files that only edges reach take part in the graph and are not reported.
 
     roles: by file and role; project: by role; total: a row for each snapshot;
     diagnostics: syntax errors, and unresolved edges where they are reachable.
@@ -121,7 +141,13 @@ def report(files: DataFrame, targets: DataFrame | None = None) -> dict[str, Data
     files = fixpoint.cut(files)
     edges, lost = resolved(files)
     ctx = fixpoint.cut(contexts(files, fixpoint.cut(edges), targets))
-    roles = fixpoint.cut(by_role(files, ctx))
+    if "found" in files.columns:
+        inner, files = files, files.where("not found").drop("found")
+        there = files.select("snapshot", "path")
+        lost = lost.join(there, ["snapshot", "path"], "left_semi")
+        roles = fixpoint.cut(by_role(inner, ctx).join(there, ["snapshot", "path"], "left_semi"))
+    else:
+        roles = fixpoint.cut(by_role(files, ctx))
     project = roles.groupBy("snapshot", "role").agg(*[F.sum(m).cast("long").alias(m) for m in ("files", *metrics.METRICS)])
     total = files.groupBy("snapshot").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("errors").cast("long").alias("syntax_errors"))
     sums = roles.groupBy("snapshot").agg(*[F.sum(m).cast("long").alias(m) for m in metrics.METRICS])

@@ -122,11 +122,16 @@ def test_findings_keep_test_and_production_apart(spark):
     need = {r.definition_path: r.reasons for r in closed_world.required_visibility(a).collect()}
     assert set(need) == {"c::used", "c::Sig"} and closed_world.CROSS_CRATE in need["c::used"] and need["c::Sig"] == [closed_world.SPREAD]
     [s] = closed_world.summary(a).collect()
-    assert (s.dead, s.narrowable, s.required) == (1, 2, 2)
+    assert (s.dead_public, s.unnecessary_public, s.public_candidates) == (1, 2, 6)
+    assert (s.production_roots, s.nonproduction_roots) == (4, 1) and (s.definition_nodes, s.reference_edges) == (10, 6)
     got = closed_world.impact(a, closed_world.select(a, "c", "c::inner"))
     assert {r.definition_path for r in got["direct"].collect()} == {"c::used"}
     assert {(r.definition_path, r.level) for r in got["consumers"].collect()} == {("c::used", 1), ("app::main", 2)}
     assert {r["class"]: r.steps for r in got["witnesses"].collect()} == {"production": 1, "test": 1}
+    assert {r["class"]: r.texts for r in got["witnesses"].collect()} == {"production": ["c c::used", "c c::inner"], "test": ["c c::used", "c c::inner"]}
+    assert got["consumer_count"].first().consumers == 2
+    nothing = closed_world.select(a, "c", "c::nothing")
+    assert closed_world.choices(a, nothing, "other::used").first().definition_path == "c::used" and closed_world.choices(a, nothing, "c::nothing").count() == 0
     assert got["disposition"].first().disposition == "unnecessary_public"
     assert closed_world.impact(a, closed_world.select(a, "c", "c::nothing")) is None
     lonely = closed_world.impact(a, closed_world.select(a, "c", "c::dead"))
