@@ -15,6 +15,14 @@ def change(before: Column, after: Column, name: str) -> list[Column]:
     return [before.alias(f"before_{name}"), after.alias(f"after_{name}"), (after - before).alias(f"delta_{name}"), percent(before, after).alias(f"percent_{name}")]
 
 
+def unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``; a key that occurs twice is an error."""
+    twice = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").orderBy(*keys).first()
+    if twice is not None:
+        raise ValueError(f"{', '.join(str(twice[k]) for k in keys)} occurs {twice['n']} times")
+    return rows
+
+
 def compare(before: DataFrame, after: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Rows that any metric or the presence of changed, with ``status`` added, deleted
     or modified.  Each side has a key once at most; one full outer join."""

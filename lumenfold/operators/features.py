@@ -82,7 +82,7 @@ def resolve(member: DataFrame, dependency: DataFrame, roots: DataFrame, seeds: D
     known = fixpoint.cut(_facts(roots.select("package", "context", F.lit("").alias("v")), "active", "v").unionByName(_facts(seeds, "feature", "feature")).distinct())
     strong = F.col("implies").rlike("^[^?/]+/[^/]+$")
     weak = F.col("implies").rlike(r"^[^?/]+\?/[^/]+$")
-    for _ in range(fixpoint.MAX_ROUNDS):
+    while True:
         on = known.where("fact = 'active'").select("package", "context")
         have = known.where("fact = 'feature'").select("package", "context", F.col("value").alias("feature"))
         deps = known.where("fact = 'dep'").select("package", "context", F.col("value").alias("alias"))
@@ -113,11 +113,9 @@ def resolve(member: DataFrame, dependency: DataFrame, roots: DataFrame, seeds: D
         for n in new[1:]:
             total = total.unionByName(n)
         added = fixpoint.cut(total.distinct().join(known, known.columns, "left_anti"))
-        if added.isEmpty():
+        if not fixpoint.some(added):
             break
         known = fixpoint.cut(known.unionByName(added))
-    else:
-        raise RuntimeError("features did not settle")
     out = known.where("fact = 'feature'").select("package", "context", F.col("value").alias("feature")).join(known.where("fact = 'active'").select("package", "context"), ["package", "context"], "left_semi")
     return out if excluded is None else out.join(excluded.select("package", "feature"), ["package", "feature"], "left_anti")
 

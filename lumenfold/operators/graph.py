@@ -38,19 +38,24 @@ def reverse_levels(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(node, next, level): breadth-first over edges against their direction.
 
     ``next`` is the edge's other end by which a node was found first: the one whose
-    own place in the search is earliest.  A node's place is the list of nodes that led
-    to it, so places compare without any global sort.  ``targets`` have level 0 and
-    no next.
+    own place in the search is earliest.  Places are numbers that grow with the order
+    (place of next, node) in each level; they come from one distributed sort of the
+    level's new nodes, so a row has one size at any level.  ``targets`` have level 0
+    and no next.
     """
     seed = targets.select("node").distinct()
-    seed = seed.select("node", F.lit(None).cast(seed.schema["node"].dataType).alias("next"), F.array("node").alias("place"))
+    seed = seed.select("node", F.lit(None).cast(seed.schema["node"].dataType).alias("next"), F.lit(0).cast("long").alias("from"))
+
+    def placed(new: DataFrame) -> DataFrame:
+        # Sorted rows lie in ranges of partitions, so their ids grow in that order.
+        return new.orderBy("from", "node").withColumn("place", F.monotonically_increasing_id())
 
     def step(new: DataFrame) -> DataFrame:
         back = new.select(F.col("node").alias("next"), F.col("place").alias("from")).join(edges, F.col("next") == F.col("dst"))
         first = back.groupBy(F.col("src").alias("node")).agg(F.min(F.struct("from", "next")).alias("b"))
-        return first.select("node", F.col("b.next").alias("next"), F.concat("b.from", F.array("node")).alias("place"))
+        return first.select("node", F.col("b.next").alias("next"), F.col("b.from").alias("from"))
 
-    return fixpoint.layers(seed, "node", step).select("node", "next", "level")
+    return fixpoint.layers(seed, "node", step, placed).select("node", "next", "level")
 
 
 def witness_paths(levels: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -58,14 +63,13 @@ def witness_paths(levels: DataFrame, wanted: DataFrame) -> DataFrame:
     steps = levels.select(F.col("node").alias("at"), "next")
     open_ = fixpoint.cut(wanted.select("node", F.array("node").alias("path"), F.col("node").alias("at")))
     done = None
-    for _ in range(fixpoint.MAX_ROUNDS):
+    while True:
         moved = fixpoint.cut(open_.join(steps, "at"))
         end = moved.where("next is null").select("node", "path")
         done = end if done is None else done.unionByName(end)
         open_ = moved.where("next is not null").select("node", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("at"))
-        if open_.isEmpty():
+        if not fixpoint.some(open_):
             return done
-    raise RuntimeError("no end of the witness paths")
 
 
 def through_hubs(members: DataFrame, group: str, node: str) -> DataFrame:

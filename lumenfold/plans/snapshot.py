@@ -157,9 +157,11 @@ def report(files: DataFrame, targets: DataFrame | None = None) -> dict[str, Data
 
 
 def compared(roles: DataFrame, before: str = "before", after: str = "after") -> dict[str, DataFrame]:
-    """Two snapshots of one ``report``: changed files, roles and the summary."""
+    """Two snapshots of one ``report``: changed files, roles and the summary.  A file stands
+    once in each role of its snapshot, or the sides can't be compared."""
     from ..operators import compare
 
+    compare.unique(roles, ["snapshot", "path", "role"])
     code = [F.sum(F.when(F.col("role") == r, F.col("code")).otherwise(0)).cast("long").alias(f"{r}_code") for r in ("production", "test")]
     files = roles.groupBy("snapshot", "path").agg(*[F.sum(m).cast("long").alias(m) for m in metrics.METRICS], *code)
     files = files.withColumn("other_code", compare.other_lines(F.col("code"), F.col("production_code"), F.col("test_code")))

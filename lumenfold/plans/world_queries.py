@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import closed_world, features, surface, workspace
 from ..sources import build, manifest, selectors, tree
-from . import snapshot
+from . import audit, snapshot
 from .analogues import query, table
 from .source_queries import _module_tree
 
@@ -354,3 +354,96 @@ def q56_shown_paths(spark, sf_dir):
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("c").alias("package"), (k % 3 == 0).alias("generated"), F.lit("sha256").alias("source_hash_algorithm"), F.md5(k.cast("string")).alias("source_hash"), F.when(k % 3 == 0, F.when(k % 2 == 0, "/out/x.rs").otherwise("/out/")).when(k % 3 == 1, F.concat(F.lit("/w/src/a"), k.cast("string"), F.lit(".rs"))).otherwise(F.concat(F.lit("/other/a"), k.cast("string"), F.lit(".rs"))).alias("local_path"))
     return closed_world.shown_path(s, "/w").select("s_suppkey", "shown")
+
+
+# -- texts, arguments, bounded files
+
+
+@query(f"""{_STATES}
+SELECT CASE WHEN finding = 'dead' THEN 'dead' ELSE 'narrow' END AS what, '/w/c/src/lib.rs:' || (k * 10) || ':1  c::f' || k || '  function  ' || finding || '  [' || CASE WHEN lp AND ln THEN 'production and others' WHEN lp THEN 'production' WHEN ln THEN 'others' ELSE 'unreached' END || ']' AS line FROM found
+UNION ALL SELECT 'count', 'audit: complete, 3 of 3 invocations correlated'
+UNION ALL SELECT 'count', 'required public: ' || (SELECT count(*) FROM need)
+UNION ALL SELECT 'count', 'can be narrowed: ' || count(*) FROM found WHERE finding <> 'dead'
+UNION ALL SELECT 'count', 'dead public: ' || count(*) FROM found WHERE finding = 'dead'
+UNION ALL SELECT 'partial', x FROM (VALUES ('audit: partial, 1 of 1 invocations correlated'), ('reason: no')) v(x)""")
+def q57_audit_text(spark, sf_dir):
+    """An audit as text: status, counts and findings, or why there are none."""
+    from . import audit_text
+
+    a = closed_world.analyze(*_world(spark, sf_dir))
+    units = lambda n: spark.createDataFrame([(str(i), "correlated") for i in range(n)], "invocation string, status string")
+    whole = audit_text.snapshot_lines({"status": "complete", "reason": None, "correlated": units(3)}, closed_world.summary(a), closed_world.required_visibility(a), a["findings"])
+    cut_short = audit_text.snapshot_lines({"status": "partial", "reason": "no", "correlated": units(1)}, closed_world.summary(a))
+    kind = lambda x: "dead" if "  dead  " in x else "narrow" if "  unnecessary_public  " in x else "count"
+    return spark.createDataFrame([(kind(x), x) for x in whole] + [("partial", x) for x in cut_short], "what string, line string")
+
+
+@query(f"""{_STATES}
+SELECT 'impact' AS what, x AS line FROM (VALUES ('impact of c:c::f{_TARGET}'), ('visibility: required_public'), ('  app:app::main by body [production]'), ('shortest path, production: app app::main > c c::f{_TARGET}'), ('shortest path, test: c c::f21 > c c::f{_TARGET}')) v(x)
+UNION ALL SELECT 'impact', 'consumers: ' || ((SELECT count(*) FROM e WHERE dk = {_TARGET}) + 1) || ' direct, ' || ((SELECT count(DISTINCT sk) FROM e WHERE dk = {_TARGET}) + 1) || ' in all'
+UNION ALL SELECT 'impact', '  c:c::f' || sk || ' by ' || kind || ' [' || CASE WHEN si = 'lib' THEN 'production' ELSE 'test' END || ']' FROM e WHERE dk = {_TARGET}
+UNION ALL SELECT 'nothing', x FROM (VALUES ('impact of c:no::f{_TARGET}'), ('not exactly one declaration'), ('  c:c::f{_TARGET} /w/c/src/lib.rs:{_TARGET * 10}:1')) v(x)
+UNION ALL SELECT 'changes', x FROM (VALUES ('before: complete'), ('after: partial'), ('after reason: no'), ('the public surfaces can''t be compared')) v(x)""")
+def q58_impact_text(spark, sf_dir):
+    """Impact and comparison as text."""
+    from . import audit_text
+
+    a = closed_world.analyze(*_world(spark, sf_dir))
+    path, wrong = f"c::f{_TARGET}", f"no::f{_TARGET}"
+    told = audit_text.impact_lines("c", path, closed_world.impact(a, closed_world.select(a, "c", path)))
+    nothing = closed_world.select(a, "c", wrong)
+    lost = audit_text.impact_lines("c", wrong, closed_world.impact(a, nothing), closed_world.choices(a, nothing, wrong))
+    before, after = ({"status": s, "reason": r, "surface": None} for s, r in (("complete", None), ("partial", "no")))
+    both = audit_text.comparison_lines(before, after, audit.compared(before, after, True))
+    return spark.createDataFrame([("impact", x) for x in told] + [("nothing", x) for x in lost] + [("changes", x) for x in both], "what string, line string")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '/now' WHEN p_partkey % 3 = 1 THEN '/now/src/a.rs' ELSE '/old2/a.rs' END AS path, CASE WHEN p_partkey % 3 = 2 THEN 'see /old2/a.rs' ELSE 'see /now/b.rs and /now/c.rs' END AS message FROM part""")
+def q59_rerooted(spark, sf_dir):
+    """A baseline's paths and texts as the working tree calls them."""
+    from . import audit_text
+
+    k = F.col("p_partkey")
+    path = F.when(k % 3 == 0, "/old").when(k % 3 == 1, "/old/src/a.rs").otherwise("/old2/a.rs")
+    text = F.when(k % 3 == 2, "see /old2/a.rs").otherwise("see /old/b.rs and /old/c.rs")
+    return audit_text.rerooted(table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), text.alias("message")), ["path", "message"], "/old", "/now")
+
+
+@query("""
+SELECT 'i' || s_suppkey AS invocation, 'c' || s_suppkey AS crate_name, CASE WHEN s_suppkey % 2 = 0 THEN 'lib,rlib' ELSE 'bin' END AS crate_types, 'src/x.rs' AS input, CASE WHEN s_suppkey % 3 = 0 THEN 'there' ELSE 'here' END AS target, CASE WHEN s_suppkey % 3 = 0 THEN 'target' ELSE 'host' END AS context,
+  s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 AS test_mode, CASE WHEN s_suppkey % 5 = 0 THEN 'a,test' ELSE 'a' END AS cfg, '-' || s_suppkey AS extra_filename, s_suppkey % 7 <> 0 AS collected,
+  '13:invocation-v32:/m0:' || strlen('c' || s_suppkey) || ':c' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '8:lib,rlib' ELSE '3:bin' END || '8:src/x.rs' || CASE WHEN s_suppkey % 3 = 0 THEN '5:there6:target' ELSE '4:here4:host' END
+  || CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 THEN '4:true' ELSE '5:false' END || CASE WHEN s_suppkey % 5 = 0 THEN '6:a' || chr(31) || 'test' ELSE '1:a' END || '23:opt-level=1' || chr(31) || 'opt-level=3' || strlen('-' || s_suppkey) || ':-' || s_suppkey || '0:0:' AS merge_key FROM supplier""")
+def q60_invocation_identity(spark, sf_dir):
+    """What a compiler's arguments say; of a setting that is given twice the last holds."""
+    from ..sources import invocation
+
+    k = F.col("s_suppkey")
+    q = lambda *xs: F.concat(*[F.concat(F.lit(',"'), F.lit(x) if isinstance(x, str) else x, F.lit('"')) for x in xs])
+    n = k.cast("string")
+    args = F.concat(
+        F.lit('["--crate-name"'), q(F.concat(F.lit("c"), n)), q("src/x.rs"), F.when(k % 2 == 0, q("--crate-type", "rlib,lib")).otherwise(""), F.when(k % 3 == 0, q("--target=there")).otherwise(""), F.when(k % 4 == 0, q("--test")).otherwise(""),
+        q("--cfg", "a"), F.when(k % 5 == 0, q("--cfg=test", "--cfg", "a")).otherwise(""), F.when(k % 7 != 0, q("--out-dir", "/o")).otherwise(""), q("-C", "opt-level=1", "-Copt-level=3", "-C"), q(F.lit("extra-filename=first")), q("-C"), q(F.concat(F.lit("extra-filename=-"), n)), F.lit("]"),
+    )
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("i"), n).alias("invocation"), args.alias("arguments"), F.lit('{"CARGO_MANIFEST_DIR": "/m"}').alias("environment"))
+    return invocation.identities(rows, "here").withColumns({c: F.array_join(c, ",") for c in ("crate_types", "cfg")})
+
+
+@query("""
+WITH r AS (SELECT c_nationkey AS f, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, c_name AS line FROM customer),
+m AS (SELECT f, max(i) AS last FROM r GROUP BY f),
+s AS (SELECT r.*, i = 0 OR i = last AS mandatory, sum(CASE WHEN i = 0 OR i = last THEN 0 ELSE strlen(line) + 1 END) OVER (PARTITION BY f ORDER BY i) AS held, first_value(strlen(line) + 1) OVER (PARTITION BY f ORDER BY i) AS head FROM r JOIN m USING (f)),
+k AS (SELECT * FROM s WHERE mandatory OR held + head <= 500 - 100)
+SELECT CAST(f AS VARCHAR) AS file, i AS index, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM k""")
+def q61_bounded_files(spark, sf_dir):
+    """Records that fit a file whose end is kept for its last ones."""
+    from pyspark.sql import Window
+
+    from ..sources import facts
+
+    own = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("file"), (F.row_number().over(own) - 1).cast("long").alias("index"), F.col("c_name").alias("line"))
+    last = rows.groupBy("file").agg(F.max("index").alias("last"))
+    marked = rows.join(last, "file").select("file", "index", "line", ((F.col("index") == 0) | (F.col("index") == F.col("last"))).alias("mandatory"))
+    return facts.bounded(marked, 500, 100).select("file", "index", "offset")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import facts
@@ -192,3 +192,25 @@ def tables(records: DataFrame, invalid: DataFrame) -> dict[str, DataFrame]:
         "product_status": pick("product_status", "product", "availability", "message"),
         "finished": pick("invocation_finished", "rustc_success", "analysis_reached"),
     }
+
+
+#: Bytes at the end of a file that only its last records may take.
+TRAILER = 64 << 10
+
+
+def bounded(lines: DataFrame, limit: int = MAX_FILE, reserve: int = TRAILER) -> DataFrame:
+    """The records that fit a file: ``lines`` (file, index, line, mandatory) in order, with
+    ``offset``.
+
+    A record counts with its line end.  One over the record's limit, and one that would
+    reach into the reserve, is left out with what follows it; mandatory records may use
+    the reserve and go on behind the cut."""
+    size = (F.octet_length("line") + 1).cast("long")
+    order = Window.partitionBy("file").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("_size", size)
+    plain = rows.where("not mandatory").withColumn("_sum", F.sum("_size").over(order)).withColumn("_long", F.max((F.col("_size") > MAX_RECORD + 1).cast("int")).over(order))
+    early = rows.where("mandatory").groupBy("file").agg(F.sum(F.when(F.col("index") == 0, F.col("_size")).otherwise(0)).alias("_first"))
+    kept = plain.join(early, "file", "left").where((F.col("_sum") + F.coalesce("_first", F.lit(0)) <= limit - reserve) & (F.col("_long") == 0)).drop("_sum", "_long", "_first")
+    whole = kept.unionByName(rows.where("mandatory"))
+    before = Window.partitionBy("file").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
+    return whole.withColumn("offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).where(F.col("offset") + F.col("_size") <= limit).drop("_size")
