@@ -53,9 +53,10 @@ def rotate(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", sp
     scratch = Scratch(messages.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit("")).alias("speaker"), F.md5(body.cast("binary")).alias("tid"), body.alias("text"))
-    # What offsets need of a message; its text is found again by all of its columns.
-    key = ["conv", "turn", "speaker", "tid"]
-    lengths = scratch.cut(rows.select(*key, F.length(escaped(F.col("text"))).cast("long").alias("body")))
+    # What offsets need of a message; its text is found again by a digest of all of its columns.
+    key = F.md5(F.to_json(F.struct("conv", "turn", "speaker", "tid"), {"ignoreNullFields": "false"}))
+    rows = rows.withColumn("mid", key)
+    lengths = scratch.cut(rows.select("conv", "turn", "speaker", "tid", "mid", F.length(escaped(F.col("text"))).cast("long").alias("body")))
     narrates = F.col("speaker").isin(*narrators) if narrators else F.lit(False)
     who = lengths.where(~narrates).select(F.col("conv").alias("c"), F.col("speaker").alias("perspective")).distinct()
     seen = lengths.join(who, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
@@ -65,13 +66,10 @@ def rotate(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", sp
     order = [F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("tid")]
     placed = prefix_sums(seen, ["conv", "perspective"], order, ["chars"], scratch)
     # Equal messages of a conversation have one text: repeats are one row of this side.
-    texts = rows.groupBy(*[F.col(k).alias(f"t_{k}") for k in key]).agg(F.min("text").alias("text"))
-    on = F.lit(True)
-    for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"t_{k}"))
+    texts = rows.groupBy("mid").agg(F.min("text").alias("text"))
     trained = F.col("role") == "assistant"
     end = F.col("chars_before") + F.col("chars")
-    return placed.join(texts, on).select(
+    return placed.drop("tid").join(texts, "mid").select(
         F.col("conv").alias(conv),
         "perspective",
         F.col("row_before").alias("position"),
