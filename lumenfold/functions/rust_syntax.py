@@ -746,10 +746,10 @@ class Walk:
         parts = cfg.split(words)
         value = self.text_of(parts[0]) if len(parts) == 1 else None
         if value is None:
-            self.edges.append(Edge(self.gate, [], 'include! path cannot be resolved from source; use a literal, string concat!, or env!("CARGO_MANIFEST_DIR") for authored source'))
+            self.edges.append(Edge(self.gate, [], 'the file that include! names is only known to a build: only literals, concat! of them and the manifest folder are followed'))
         elif value is not Generated:
             target = posixpath.normpath(posixpath.join(posixpath.dirname(self.path), value))
-            self.edges.append(Edge(self.gate, [target], f"include! source does not exist: {target}"))
+            self.edges.append(Edge(self.gate, [target], f"include! names a file that is not there: {target}"))
 
     def text_of(self, words: list[str]):
         """A string that an expression of literals, parentheses, concat! and env! makes; Generated for the build's own folder; else None."""

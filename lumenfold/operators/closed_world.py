@@ -78,7 +78,7 @@ def edges(t: dict[str, DataFrame], d: DataFrame) -> tuple[DataFrame, DataFrame]:
     selected = own.select(crate(F.col("c")).alias("_crate")).distinct()
     r = r.withColumn("crate", crate(F.col("to"))).join(selected.withColumn("local", F.lit(True)), F.col("crate") == F.col("_crate"), "left")
     lost = r.where("src is null").select("invocation", "id", F.lit("reference has no source node").alias("message"))
-    lost = lost.unionByName(r.where("src is not null and here is null and (nodes > 1 or (nodes is null and local))").select("invocation", "id", F.lit("reference has an ambiguous or missing selected target").alias("message")))
+    lost = lost.unionByName(r.where("src is not null and here is null and (nodes > 1 or (nodes is null and local))").select("invocation", "id", F.lit("reference leads to no single item of a selected crate").alias("message")))
     good = r.where("src is not null and (here is not null or nodes = 1)").withColumn("dst", F.explode(F.when(F.col("here").isNotNull(), F.array("here")).otherwise(F.col("states"))))
     return good.select("invocation", "id", "src", "dst", F.col("edge").alias("kind"), "span", (crate(F.col("from")) != crate(F.col("to"))).alias("crossing")), lost
 

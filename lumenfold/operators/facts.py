@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def decoded(text: Column, schema: str) -> Column:
+    """A JSON record by its schema: unknown fields play no part, and a record that can't be
+    read has NULL in every field."""
+    return F.from_json(text, schema, {"mode": "PERMISSIVE"})
+
+
 def contiguous(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """For each key whether ``sequence`` runs 0, 1, 2, ... without gap or repeat.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The metrics' names in reports.
 METRICS = ("physical", "code", "comments", "docs", "blank", "lexical_complexity", "cyclomatic_authored", "cognitive_authored", "declared_public")
 
 
@@ -31,6 +32,14 @@ def totals(files: DataFrame, path: str, metrics: tuple[str, ...] = METRICS) -> D
     return files.groupBy(path).agg(*[F.sum(m).alias(m) for m in metrics]).agg(F.count("*").alias("files"), *[F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in metrics])
 
 
+def grouped(rows: DataFrame, sets: list[list[str]], entity: str, sums: list[str], total: str = "Total") -> DataFrame:
+    """Sums and distinct entities of several groupings in one pass; ``total`` stands where a
+    grouping leaves a key out."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    out = rows.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.count_distinct(entity).alias("files"), *[F.sum(m).cast("long").alias(m) for m in sums], *[F.grouping(k).alias(f"_{k}") for k in keys])
+    return out.select(*[F.when(F.col(f"_{k}") == 1, F.lit(total)).otherwise(F.col(k)).alias(k) for k in keys], "files", *sums)
+
+
 def status_rollup(rows: DataFrame, keys: list[str], status: str, reason: str, order: list[str]) -> DataFrame:
     """complete only if every part is; partial if any is complete or partial; else
     unavailable; with the first reason in ``order``."""

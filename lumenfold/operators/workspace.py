@@ -30,6 +30,13 @@ def selected(package: DataFrame, requested: DataFrame) -> DataFrame:
     return package.join(own.unionByName(within).distinct(), "package", "left_semi")
 
 
+def audit_inventory(package: DataFrame, requested: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """The packages that an audit's ``requested`` paths (path, is_folder) select, and the
+    paths that lie outside of the workspace's ``root``: with any of these there is no audit."""
+    outside = requested.where(~inside(F.col("path"), F.lit(root))).select("path")
+    return selected(package, requested), outside
+
+
 def root_contexts(selected: DataFrame, target: DataFrame) -> DataFrame:
     """(package, context): host for a procedural macro, target for every other target but a
     build script; target where a package has none."""

@@ -49,13 +49,12 @@ def q1_line_metrics(spark, sf_dir):
 
 
 @query("""
-SELECT coalesce(source, 'Total') AS source, coalesce(lang, 'Total') AS lang, count(DISTINCT doc_id) AS files, CAST(sum(n_chars) AS BIGINT) AS chars
+SELECT CASE WHEN grouping(source) = 1 THEN 'Total' ELSE source END AS source, CASE WHEN grouping(lang) = 1 THEN 'Total' ELSE lang END AS lang, count(DISTINCT doc_id) AS files, CAST(sum(n_chars) AS BIGINT) AS chars
 FROM documents GROUP BY GROUPING SETS ((source, lang), (lang), ())""")
 def q2_grouping_totals(spark, sf_dir):
     """Buckets and totals in one pass (A2-A4): distinct files, summed characters."""
-    docs = table(spark, sf_dir, "documents")
-    out = docs.groupingSets([["source", "lang"], ["lang"], []], "source", "lang").agg(F.count_distinct("doc_id").alias("files"), F.sum("n_chars").cast("long").alias("chars"))
-    return out.select(F.coalesce("source", F.lit("Total")).alias("source"), F.coalesce("lang", F.lit("Total")).alias("lang"), "files", "chars")
+    docs = table(spark, sf_dir, "documents").withColumnRenamed("n_chars", "chars")
+    return metrics.grouped(docs, [["source", "lang"], ["lang"], []], "doc_id", ["chars"])
 
 
 @query("""
@@ -64,7 +63,7 @@ r AS (SELECT lang, least(q, 2 - t) AS production, least(2 - q, 2 - t) AS example
 SELECT lang, CASE WHEN production = 2 THEN 'production' WHEN production = 1 THEN 'conditional' WHEN example = 2 THEN 'example' WHEN example = 1 THEN 'conditional' WHEN test = 2 THEN 'test' WHEN test = 1 THEN 'conditional' WHEN labelled THEN 'inactive' ELSE 'orphan' END AS role, count(*) AS files
 FROM r GROUP BY ALL""")
 def q3_classify_labels(spark, sf_dir):
-    """Three-valued activation and the role by priority (C1, C3, G3); no label is a maybe."""
+    """Three-valued activation and the role by priority (C1, G3); no label is a maybe."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("known"))
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
     q, t = lattice.activation(F.col("quality") == 1), lattice.activation(F.col("toxic") == 1)
@@ -158,7 +157,7 @@ r(node, level) AS (SELECT min(dst), 0 FROM e WHERE dst LIKE 'p%' UNION SELECT sr
 m AS (SELECT node, min(level) AS level FROM r WHERE node IS NOT NULL GROUP BY 1)
 SELECT level, count(*) AS consumers, min(node) AS first_consumer FROM m GROUP BY 1""")
 def q9_reverse_levels(spark, sf_dir):
-    """Who depends on one part, by distance."""
+    """Who depends on one part, by distance."""
     edges = _supply(spark, sf_dir, 50).select(F.col("s").alias("src"), F.col("p").alias("dst")).unionByName(_supply(spark, sf_dir, 49).select(F.col("p").alias("src"), F.col("s").alias("dst"))).distinct()
     start = edges.where("dst like 'p%'").agg(F.min("dst").alias("node")).where("node is not null")
     return graph.reverse_levels(edges, start).groupBy("level").agg(F.count("*").alias("consumers"), F.min("node").alias("first_consumer"))
@@ -239,7 +238,7 @@ def q17_first_per_key(spark, sf_dir):
 SELECT event_type, count(*) AS records, CAST(count(k) AS BIGINT) AS decoded, CAST(coalesce(sum(k), 0) AS BIGINT) AS total FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""")
 def q18_decode(spark, sf_dir):
     """JSON payloads decoded by a schema; a bad one counts as not decoded."""
-    rows = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k long", {"mode": "PERMISSIVE"})["k"].alias("k"))
+    rows = table(spark, sf_dir, "events").select("event_type", facts.decoded(F.col("props"), "k long")["k"].alias("k"))
     return rows.groupBy("event_type").agg(F.count("*").alias("records"), F.count("k").alias("decoded"), F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("total"))
 
 
@@ -303,7 +302,7 @@ weak AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM l
 SELECT 'active' AS rule, node, NULL AS via FROM active
 UNION ALL SELECT 'weak', w.dst, w.src FROM weak w WHERE w.src IN (SELECT node FROM active) AND w.dst IN (SELECT node FROM active)""")
 def q23_rule_closure(spark, sf_dir):
-    """Strong edges activate, to a fixed point; weak ones count only between what is active."""
+    """Strong edges activate, to a fixed point; weak ones count only between what is active."""
     node = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
     lines = table(spark, sf_dir, "lineitem")
     s, p = node("s", "l_suppkey"), node("p", "l_partkey")

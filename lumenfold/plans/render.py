@@ -26,13 +26,14 @@ def _numbers(r) -> dict:
     return {m: r[m] for m in METRICS}
 
 
-def snapshot_json(tables: dict[str, DataFrame], snapshot: str = "after", summary_only: bool = False) -> str:
+def snapshot_json(tables: dict[str, DataFrame], snapshot: str = "after", summary_only: bool = False, extra: dict | None = None) -> str:
     mine = lambda t: tables[t].where(F.col("snapshot") == snapshot)
     total = mine("total").first()
     out = {
         "schema_version": SCHEMA_VERSION,
         "report_kind": "snapshot",
         "detail": "summary" if summary_only else "files",
+        **(extra or {}),
         "file_count": total["files"] if total else 0,
         "bytes": total["bytes"] if total else 0,
         "total": _numbers(total) if total else dict.fromkeys(METRICS, 0),
@@ -46,9 +47,9 @@ def snapshot_json(tables: dict[str, DataFrame], snapshot: str = "after", summary
     return json.dumps(out, ensure_ascii=False) + "\n"
 
 
-def comparison_json(compared: dict[str, DataFrame], summary_only: bool = False) -> str:
+def comparison_json(compared: dict[str, DataFrame], summary_only: bool = False, extra: dict | None = None) -> str:
     changes = lambda r: {k[6:]: {s: r[f"{s}_{k[6:]}"] for s in ("before", "after", "delta", "percent")} for k in r.asDict() if k.startswith("delta_")}
-    out = {"schema_version": SCHEMA_VERSION, "report_kind": "comparison", "detail": "summary" if summary_only else "files", "summary": changes(compared["summary"].first()), "roles": [{"role": r["role"], **changes(r)} for r in _ordered(compared["roles"].collect())]}
+    out = {"schema_version": SCHEMA_VERSION, "report_kind": "comparison", "detail": "summary" if summary_only else "files", **(extra or {}), "summary": changes(compared["summary"].first()), "roles": [{"role": r["role"], **changes(r)} for r in _ordered(compared["roles"].collect())]}
     if not summary_only:
         out["files"] = [{"path": r["path"], "status": r["status"], **changes(r)} for r in compared["files"].orderBy("path").collect()]
     return json.dumps(out, ensure_ascii=False) + "\n"

@@ -447,3 +447,18 @@ def q61_bounded_files(spark, sf_dir):
     last = rows.groupBy("file").agg(F.max("index").alias("last"))
     marked = rows.join(last, "file").select("file", "index", "line", ((F.col("index") == 0) | (F.col("index") == F.col("last"))).alias("mandatory"))
     return facts.bounded(marked, 500, 100).select("file", "index", "offset")
+
+
+@query("""
+SELECT 'package' AS what, 'n' || n_nationkey AS name FROM nation WHERE n_nationkey % 3 = 0 OR n_regionkey = 2
+UNION ALL SELECT 'outside', '/else/' || n_nationkey FROM nation WHERE n_nationkey % 5 = 1 AND n_regionkey <> 2""")
+def q62_audit_inventory(spark, sf_dir):
+    """The packages of an audit, and paths that are not of its workspace."""
+    package, _, _ = _packages(spark, sf_dir)
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation")
+    root = F.concat(F.lit("w/r"), F.col("n_regionkey").cast("string"), F.lit("/n"), k.cast("string"))
+    asked = n.where(k % 3 == 0).select(F.concat(root, F.lit("/src/lib.rs")).alias("path"), F.lit(False).alias("is_folder"))
+    asked = asked.unionByName(spark.createDataFrame([("w/r2", True)], asked.schema)).unionByName(n.where((k % 5 == 1) & (F.col("n_regionkey") != 2)).select(F.concat(F.lit("/else/"), k.cast("string")).alias("path"), F.lit(True).alias("is_folder")))
+    chosen, outside = workspace.audit_inventory(package, asked, "w")
+    return chosen.select(F.lit("package").alias("what"), F.col("package").alias("name")).unionByName(outside.select(F.lit("outside").alias("what"), F.col("path").alias("name")))

@@ -78,7 +78,7 @@ def decode(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     problem = F.when(F.col("length") > MAX_FILE, F.lit("file exceeds its limit")).when(F.col("length") == 0, F.lit("file is empty")).when(text.isNull(), F.lit("file is not UTF-8")).when(~F.endswith(text, F.lit("\n")), F.lit("last record is not ended"))
     judged = files.select("file", text.alias("text"), problem.alias("problem"))
     lines = judged.where("problem is null").select("file", F.posexplode(F.split(F.expr("substring(text, 1, length(text) - 1)"), "\n")).alias("index", "line"))
-    parsed = lines.select("file", F.col("index").cast("bigint").alias("index"), (F.octet_length("line") > MAX_RECORD).alias("long"), F.from_json("line", RECORD, {"mode": "PERMISSIVE"}).alias("r"))
+    parsed = lines.select("file", F.col("index").cast("bigint").alias("index"), (F.octet_length("line") > MAX_RECORD).alias("long"), facts.decoded(F.col("line"), RECORD).alias("r"))
     bad = parsed.where(F.col("long") | F.col("r.event").isNull() | F.col("r.sequence").isNull() | F.col("r.invocation_id").isNull())
     broken = bad.groupBy("file").agg(F.min("index").alias("i")).select("file", F.concat(F.lit("record "), F.col("i").cast("string"), F.lit(" is malformed or exceeds its limit")).alias("message"))
     errors = judged.where("problem is not null").select("file", F.col("problem").alias("message")).unionByName(broken)

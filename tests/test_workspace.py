@@ -1,6 +1,7 @@
 """Features, correlation, selectors, revisions, reports and streaming."""
 
 import json
+import os
 import subprocess
 
 import pytest
@@ -117,3 +118,127 @@ def test_streamed_facts(spark, tmp_path):
     ingest(spark, str(tmp_path / "in"), RUN, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r.file for r in spark.read.parquet(str(tmp_path / "out/records")).collect()} == {"a.jsonl"}
     assert {r.file for r in spark.read.parquet(str(tmp_path / "out/errors")).collect()} == {"b.jsonl"}
+
+
+MANIFEST = """[package]
+name = "app"
+[[bin]]
+name = "tool"
+bench = false
+"""
+
+
+def workspace_of(tmp_path):
+    """app: a library, a program that needs a feature, tests; util: used by app for one feature."""
+    for path, text in {
+        "app/Cargo.toml": MANIFEST,
+        "app/src/lib.rs": '#[cfg(feature = "fast")]\nfn fast() {}\n#[cfg(feature = "slow")]\nfn slow() {}\n#[cfg(unix)]\nfn unix() {}\n',
+        "app/src/main.rs": "fn main() {}\n",
+        "app/tests/t.rs": "fn t() {}\n",
+        "util/Cargo.toml": "[package]\nname = \"util\"\n",
+        "util/src/lib.rs": '#[cfg(feature = "deep")]\npub fn deep() {}\n',
+    }.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    at = lambda p: str(tmp_path / p)
+    target = lambda name, kind, path, test=False, **more: {"name": name, "kind": [kind], "crate_types": [kind], "src_path": at(path), "test": test, **more}
+    dep = {"name": "util", "kind": None, "target": "cfg(unix)", "optional": True, "uses_default_features": False, "features": ["deep"], "path": at("util")}
+    app = {"id": "1", "name": "app", "manifest_path": at("app/Cargo.toml"), "edition": "2021", "features": {"default": ["fast"], "fast": [], "slow": ["dep:util"]}, "targets": [target("app", "lib", "app/src/lib.rs", True), target("tool", "bin", "app/src/main.rs", **{"required-features": ["slow"]}), target("t", "test", "app/tests/t.rs", True)], "dependencies": [dep]}
+    util = {"id": "2", "name": "util", "manifest_path": at("util/Cargo.toml"), "edition": "2021", "features": {"deep": []}, "targets": [target("util", "lib", "util/src/lib.rs", True)], "dependencies": []}
+    (tmp_path / "meta.json").write_text(json.dumps({"packages": [app, util], "workspace_members": ["1", "2"]}))
+    return str(tmp_path / "meta.json")
+
+
+def code_by_role(doc):
+    return {(f["path"], b["role"]): b["code"] for f in doc["files"] for b in f["buckets"]}
+
+
+def test_fast_mode_with_packages(spark, tmp_path, capsys):
+    meta = workspace_of(tmp_path)
+
+    def run(*more):
+        code = cli.main([str(tmp_path), "--metadata", meta, "--cfg", "unix", "--format", "json", *more])
+        return code, json.loads(capsys.readouterr().out)
+
+    code, doc = run()
+    assert code == 0 and doc["features"] == "default" and doc["selection"]["paths"] == [{"path": ".", "kind": "directory"}]
+    got = code_by_role(doc)
+    # By default: fast, not slow; the program lacks its feature, so nothing of it is built.
+    assert got == {("app/src/lib.rs", "production"): 4, ("app/src/lib.rs", "inactive"): 2, ("app/src/main.rs", "inactive"): 1, ("app/tests/t.rs", "test"): 1, ("util/src/lib.rs", "inactive"): 2}
+    got = code_by_role(run("--features", "slow")[1])
+    assert got["app/src/main.rs", "production"] == 1 and got["util/src/lib.rs", "production"] == 2 and ("app/src/lib.rs", "inactive") not in got
+    got = code_by_role(run("--no-default-features", "--features", "app/slow")[1])
+    assert got["app/src/lib.rs", "inactive"] == 2 and got["app/src/main.rs", "production"] == 1
+    code, doc = run("--all-features", "--exclude-features", "app/fast")
+    assert doc["features"] == "all-excluded" and code_by_role(doc)["app/src/lib.rs", "inactive"] == 2
+    with pytest.raises(ValueError, match="nothing"):
+        run("--features", "nothing")
+    # One package alone: the other has no selected target.
+    assert cli.main([str(tmp_path / "util"), "--metadata", meta, "--format", "json"]) == 0
+    assert code_by_role(json.loads(capsys.readouterr().out)) == {("src/lib.rs", "inactive"): 2}
+
+
+def test_files_reached_by_edges_are_read_and_not_reported(spark, tmp_path, capsys):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a/lib.rs").write_text('#[path = "../b/x.rs"]\nmod x;\n#[path = "../b/gone.rs"]\nmod y;\n')
+    (tmp_path / "b/x.rs").write_text("mod missing;\n")
+    assert cli.main([str(tmp_path / "a"), "--format", "json"]) == 1
+    shown = capsys.readouterr()
+    assert [f["path"] for f in json.loads(shown.out)["files"]] == ["lib.rs"]
+    assert shown.err.count("warning") == 1 and "lib.rs" in shown.err
+
+
+def test_sources_and_ignore_lines(tmp_path, monkeypatch):
+    from lumenfold.sources import tree
+
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    (tmp_path / "home").mkdir()
+    (tmp_path / "home/.gitconfig").write_text("[user]\n  name = x\n[core]\n  excludesFile = ~/mine\n")
+    (tmp_path / "home/mine").write_text("*_gen.rs\n[b-a]\n")
+    src = tmp_path / "src"
+    src.mkdir()
+    for name in ("a.rs", "b_gen.rs", "c_gen.rs"):
+        (src / name).write_text("")
+    (src / ".gitignore").write_text("!c_gen.rs\n")
+    found = lambda **k: [os.path.basename(p) for p in tree.discover([str(src)], **k)]
+    assert found() == ["a.rs", "c_gen.rs"] and found(no_ignore=True) == ["a.rs", "b_gen.rs", "c_gen.rs"]
+    kinds = {"": "directory", "src": "directory", "src/a.rs": "directory"}
+    assert tree.baseline_paths([str(src), str(tmp_path)], str(tmp_path), kinds) == ["", "src"]
+    for bad, why in ((str(src / "a.rs"), "is a directory"), (str(src / "c_gen.rs"), "does not exist"), ("/", "outside")):
+        with pytest.raises(ValueError, match=why):
+            tree.baseline_paths([bad], str(tmp_path), kinds)
+
+
+def test_environment_and_closed_pipe(monkeypatch):
+    from lumenfold.sources import invocation
+
+    assert invocation.environment_issues({"RUSTC": "", "RUSTC_WORKSPACE_WRAPPER": "", "CARGO_BUILD_RUSTC_WORKSPACE_WRAPPER": "x"}, {"build.rustc": "y", "build.rustc-workspace-wrapper": None}) == ["RUSTC names another compiler", "CARGO_BUILD_RUSTC_WORKSPACE_WRAPPER wraps the compiler", "build.rustc is set"]
+    assert invocation.flags_are_safe({"PATH": "x"}) and not invocation.flags_are_safe({"CARGO_TARGET_X_RUSTFLAGS": ""})
+
+    def closed(argv):
+        raise BrokenPipeError
+
+    monkeypatch.setattr(cli, "_main", closed)
+    monkeypatch.setattr(os, "dup2", lambda *a: None)
+    assert cli.main([]) == 0
+
+
+def test_a_key_that_occurs_twice_is_an_error(spark):
+    from lumenfold.operators import compare
+
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "path string, n int")
+    with pytest.raises(ValueError, match="b occurs 2 times"):
+        compare.unique(rows, ["path"])
+    assert compare.unique(rows.where("n = 1"), ["path"]).count() == 2
+
+
+def test_long_chains_settle(spark):
+    """No limit on rounds: a chain is followed to its end."""
+    from lumenfold.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert graph.reachable(edges, spark.createDataFrame([(0,)], "node long")).count() == 41
+    levels = graph.reverse_levels(edges.unionByName(spark.createDataFrame([(0, 39), (1, 39)], "src long, dst long")), spark.createDataFrame([(40,)], "node long")).collect()
+    assert {r.node: (r.level, r.next) for r in levels if r.node < 2} == {0: (2, 39), 1: (2, 39)}
