@@ -25,6 +25,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 #: Languages in a word of a slot, a bit each; a slot has as many words as the languages need.
 WORD_BITS = 64
+#: Bytes of text that are looked at together, and n-grams of a language that a task holds while it counts.
+_SLICE, _DISTINCT = 1 << 19, 1 << 18
 
 
 def has_letter(text: str | None) -> bool:
@@ -110,6 +112,17 @@ class Model:
         return [self.langs[b] for b in best], [float(x) for x in s[np.arange(len(texts)), best]]
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two lists of keys with their counts as one."""
+    if a is None or not len(a[0]) or not len(b[0]):
+        return b if a is None or not len(a[0]) else a
+    keys, times = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(times[order], first)
+
+
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", n: int = 5, min_share: float = 2e-5, log2_slots: int = 20, docs_per_lang: int = 20_000) -> Model:
     """Fit on rows with a text and a language.
 
@@ -129,13 +142,36 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     part = F.broadcast(spark.createDataFrame([(r["lang"], docs_per_lang / r["count"] * 1_000_000) for r in counts], "lang string, part double"))
     sample = rows.join(part, "lang").where(F.col("u") < F.col("part")).select("lang", "text")
 
+    def out(tag: str, keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([tag] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "gram", "times"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def fold(tag: str) -> None:
+            # An n-gram takes many times its byte while it is counted, so a slice at a time.
+            keys, _ = grams(held.pop(tag), n)
+            del sizes[tag]
+            sums[tag] = _merged(sums.get(tag), np.unique(keys[keys != 0], return_counts=True))
+
         for batch in batches:
-            tags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for tag in sorted(set(tags)):
-                keys, _ = grams([t.encode("utf-8", "replace") for g, t in zip(tags, texts) if g == tag], n)
-                got, times = np.unique(keys[keys != 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([tag] * len(got), pa.string()), pa.array(got.astype(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "gram", "times"])
+            for tag, text in zip(batch.column(0), batch.column(1)):
+                tag, text = tag.as_py(), text.as_py().encode("utf-8", "replace")
+                held.setdefault(tag, []).append(text)
+                sizes[tag] = sizes.get(tag, 0) + len(text)
+                if sizes[tag] > _SLICE:
+                    fold(tag)
+                    if len(sums[tag][0]) > _DISTINCT:
+                        yield out(tag, *sums.pop(tag))
+                elif sum(sizes.values()) > 4 * _SLICE:
+                    for t in list(held):
+                        fold(t)
+        for t in list(held):
+            fold(t)
+        for t, found in sums.items():
+            yield out(t, *found)
 
     summed = sample.mapInArrow(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
     summed.persist()
@@ -147,9 +183,6 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     return Model.build(held, n, log2_slots)
 
 
-_SLICE = 2 << 20
-
-
 def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` with ``lang_pred`` and ``score`` (0 to 1: the share of its n-grams that
     the language holds, corrected for false positives) of every whole text.
@@ -159,7 +192,9 @@ def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",
     stay; an empty table gives no rows; columns not named play no part.
     """
     names = [f"_k{i}" for i in range(len(keep))]
-    df = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.col(text).alias("_text"))
+    # A text that is kept goes to Python once.
+    at = keep.index(text) if text in keep else len(keep)
+    df = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], *([] if text in keep else [F.col(text).alias("_text")]))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**log2_slots words of 8 bytes for every 64 languages
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +212,7 @@ def predict(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",
                         langs[i], scores[i] = g, s
                     held.clear()
 
-            for i, value in enumerate(batch.column(len(names))):
+            for i, value in enumerate(batch.column(at)):
                 t = value.as_py()
                 if has_letter(t):
                     b = t.encode("utf-8", "replace")

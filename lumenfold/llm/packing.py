@@ -51,13 +51,21 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        spec = json.loads(self.tok.to_str())
+        self.path, self._tok = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._ranked(spec)
 
+    @property
+    def tok(self):
+        """The library's own tokenizer; most workers never meet a text that needs it."""
+        if self._tok is None:
+            from tokenizers import Tokenizer
+
+            self._tok = Tokenizer.from_file(self.path)
+        return self._tok
+
     def _ranked(self, spec: dict):
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
