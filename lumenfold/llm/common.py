@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers give memory back that they no longer use: they outlive a stage and
+    stand beside the engine's own memory in an executor.  What a user has set stays."""
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_MMAP_THRESHOLD_", "1048576")):
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of this application.
 
@@ -48,6 +55,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.made = spark, []
+        lean_workers(spark)
         _later(spark)
         for inside in _scopes:
             inside.append(self)

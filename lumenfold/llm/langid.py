@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, lean_workers
+
 #: A-Z to a-z; other ASCII than letters to spaces.
 _FOLD = np.frombuffer(bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256)), np.uint8)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -132,6 +134,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     driver for each.  All languages are learned.  Without any labelled text the model
     knows the language und alone.
     """
+    lean_workers(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)).alias("u")).where("text is not null and lang is not null")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
@@ -174,10 +177,12 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
             yield out(t, *found)
 
     summed = sample.mapInArrow(count, "lang string, gram long, times long").groupBy("lang", "gram").agg(F.sum("times").alias("times"))
-    summed.persist()
+    # Read twice: written, as what executors would hold of it is large beside their memory.
+    scratch = Scratch(spark)
+    summed = scratch.cut(summed)
     least = F.broadcast(summed.groupBy("lang").agg((F.sum("times") * min_share).alias("least")))
     frequent = summed.join(least, "lang").where(F.col("times") >= F.col("least")).select("lang", "gram").toPandas()
-    summed.unpersist()
+    scratch.drop()
     found = {name: part["gram"].to_numpy().astype(np.uint64) for name, part in frequent.groupby("lang")}
     held = {name: found.get(name, np.zeros(0, np.uint64)) for name in names}
     return Model.build(held, n, log2_slots)
