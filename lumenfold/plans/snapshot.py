@@ -33,6 +33,8 @@ _ARROW = pa.schema(
 )
 #: Kinds of targets that seed the module graph.
 TARGET_ROLES = ("production", "test", "bench", "example", "build")
+#: Measured files in a batch: each is under 1 KB and its edges.
+ROWS_AT_ONCE = 1000
 ROLE_ORDER = ("production", "test", "bench", "example", "build", "conditional", "inactive", "orphan")
 
 
@@ -44,12 +46,19 @@ def measured(files: DataFrame, profile: cfg.Profile | None = None, packages: lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = sorted(packages, key=lambda p: -len(p[0]))
+        seen: dict[str | None, dict] = {}
         for b in batches:
+            made = []
             for snapshot, path, content in zip(*(c.to_pylist() for c in b.columns)):
                 own = next(((r, p) for r, p in owners if not r or path == r or path.startswith(r + "/")), (None, plain))
-                s = measure(path, content or b"", own[1], own[0])
+                s = measure(path, content or b"", own[1], own[0], seen.setdefault(own[0], {}))
                 edges = [{"production": e.gate[0], "test": e.gate[1], "candidates": e.candidates, "message": e.message} for e in s.edges]
-                yield pa.RecordBatch.from_pylist([{"snapshot": snapshot, "path": path, "bytes": s.bytes, "errors": len(s.errors), "first_error": s.errors[0] if s.errors else None, "metrics": s.metrics, "edges": edges}], _ARROW)
+                made.append({"snapshot": snapshot, "path": path, "bytes": s.bytes, "errors": len(s.errors), "first_error": s.errors[0] if s.errors else None, "metrics": s.metrics, "edges": edges})
+                if len(made) == ROWS_AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(made, _ARROW)
+                    made = []
+            if made:
+                yield pa.RecordBatch.from_pylist(made, _ARROW)
 
     return files.select("snapshot", "path", "content").mapInArrow(run, MEASURED)
 

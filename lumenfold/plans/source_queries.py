@@ -47,6 +47,15 @@ def _part_source(n: Column) -> Column:
     )
 
 
+def _parts(spark, sf_dir) -> DataFrame:
+    """The part rows, dealt out before sources are written from them.
+
+    A table of small rows lies in one task or two, and measuring a source takes far
+    longer than reading its row; a set number of parts is kept where a small size
+    would have them put together again."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(8 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def _part_path() -> Column:
     return F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/lib.rs"))
 
@@ -64,7 +73,7 @@ _NINE = ", ".join(f"CAST(r.m[{i + 1}] AS BIGINT) AS {m}" for i, m in enumerate(M
 @query(f"WITH {_part_sql('s', 'p_size % 4', 'true')} SELECT 'after' AS snapshot, path, r.role AS role, CAST(1 AS BIGINT) AS files, {_NINE} FROM s")
 def q26_source_metrics(spark, sf_dir):
     """Sources to tokens, lines, decisions, states and roles."""
-    files = table(spark, sf_dir, "part").select(*_file(_part_path(), _part_source(F.col("p_size") % 4)))
+    files = _parts(spark, sf_dir).select(*_file(_part_path(), _part_source(F.col("p_size") % 4)))
     return snapshot.report(snapshot.measured(files))["roles"].select("snapshot", "path", "role", "files", *METRICS)
 
 
@@ -170,7 +179,7 @@ def q30_predicates(spark, sf_dir):
 
 
 def _compared(spark, sf_dir) -> dict[str, DataFrame]:
-    rows = table(spark, sf_dir, "part")
+    rows = _parts(spark, sf_dir)
     before = rows.where("p_partkey % 10 <> 0").select(*_file(_part_path(), _part_source(F.col("p_size") % 4), "before"))
     after = rows.where("p_partkey % 7 <> 0").select(*_file(_part_path(), _part_source(F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") % 5).otherwise(F.col("p_size") % 4))))
     return snapshot.compared(snapshot.report(snapshot.measured(before.unionByName(after)))["roles"])
@@ -224,7 +233,7 @@ def q33_rendered_snapshot(spark, sf_dir):
 
     from . import render
 
-    files = table(spark, sf_dir, "part").select(*_file(_part_path(), _part_source(F.col("p_size") % 4)))
+    files = _parts(spark, sf_dir).select(*_file(_part_path(), _part_source(F.col("p_size") % 4)))
     made = {k: v.cache() for k, v in snapshot.report(snapshot.measured(files)).items()}
     try:
         doc, text = json.loads(render.snapshot_json(made)), render.snapshot_table(made, files=True)

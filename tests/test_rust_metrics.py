@@ -176,3 +176,36 @@ def test_comparison(spark):
     assert (s.before_code, s.after_code) == (12, 11)
     assert [r.path for r in out["contributors"].collect()] == ["src/lost.rs", "src/new.rs", "src/a.rs"]
     assert out["roles"].count() == 8
+
+
+def test_sources_that_differ_in_words_of_comments_share_a_walk(monkeypatch):
+    from lumenfold.functions import rust_syntax
+
+    walks, one = [], rust_syntax._walked
+    monkeypatch.setattr(rust_syntax, "_walked", lambda *a: walks.append(a) or one(*a))
+    texts = ["// a\nfn f() { g(\"// x\"); }\n", "// other\nfn f() { g(\"// x\"); }\n", "/// a\nfn f() { g(\"// x\"); }\n", "// a\nfn f() { g(\"// y\"); }\n", "// a\n\nfn f() { g(\"// x\"); }\n", "//// a\nfn f() { g(\"// x\"); }\n"]
+    seen = {}
+    for t in texts:
+        fresh, kept = rust_syntax.measure("a.rs", t.encode()), rust_syntax.measure("a.rs", t.encode(), seen=seen)
+        assert (fresh.bytes, fresh.metrics, fresh.errors) == (kept.bytes, kept.metrics, kept.errors)
+    assert len(walks) == len(texts) + 4
+    for path in ("a.rs", "b/lib.rs"):  # where a module lies depends on the path
+        assert rust_syntax.measure(path, b"mod m;\n", seen=seen).edges[0].candidates == rust_syntax.measure(path, b"mod m;\n").edges[0].candidates
+
+
+def test_sources_are_measured_by_all_cores_and_leave_in_few_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lumenfold.plans import snapshot, source_queries
+
+    parts = source_queries._parts(spark, "/root/testdata/sf0.001")
+    held = [r["n"] for r in parts.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(held) >= spark.sparkContext.defaultParallelism and sum(held) == parts.count()
+    taken = []
+    monkeypatch.setattr("pyspark.sql.DataFrame.mapInArrow", lambda self, run, schema: taken.append(run) or self)
+    snapshot.measured(spark.range(1).selectExpr("'after' as snapshot", "'a' as path", "cast('fn f() {}' as binary) as content"))
+    import pyarrow as pa
+
+    n = 2 * snapshot.ROWS_AT_ONCE + 5
+    batch = pa.RecordBatch.from_pylist([{"snapshot": "after", "path": f"{i}.rs", "content": b"fn f() {}\n"} for i in range(n)])
+    assert [b.num_rows for b in taken[0](iter([batch]))] == [snapshot.ROWS_AT_ONCE, snapshot.ROWS_AT_ONCE, 5]
