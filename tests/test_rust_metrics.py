@@ -202,8 +202,9 @@ def test_sources_are_measured_by_all_cores_and_leave_in_few_batches(spark, monke
     held = [r["n"] for r in parts.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(held) >= spark.sparkContext.defaultParallelism and sum(held) == parts.count()
     taken = []
-    monkeypatch.setattr("pyspark.sql.DataFrame.mapInArrow", lambda self, run, schema: taken.append(run) or self)
-    snapshot.measured(spark.range(1).selectExpr("'after' as snapshot", "'a' as path", "cast('fn f() {}' as binary) as content"))
+    files = spark.range(1).selectExpr("'after' as snapshot", "'a' as path", "cast('fn f() {}' as binary) as content")
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, schema: taken.append(run) or self)
+    snapshot.measured(files)
     import pyarrow as pa
 
     n = 2 * snapshot.ROWS_AT_ONCE + 5
