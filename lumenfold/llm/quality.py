@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch
 
-#: Frequent words learned for a language; bins of their hash; labelled rows that teach them for each language, at most about.
-COMMON_PER_LANG, WORD_BINS, DOCS_PER_LANG = 50, 60, 20_000
+#: Frequent words learned for a language; bins of their hash.
+COMMON_PER_LANG, WORD_BINS = 50, 60
 #: Bytes of a language's reference, about; references that a row is compared with in one pass.
 REFERENCE_BYTES, REFERENCES_AT_ONCE = 640, 4096
 #: A bin with a smaller part of a reference's words counts as empty where chance is estimated.
@@ -127,19 +127,15 @@ def word_counts(df: DataFrame, common: list[str], text: str = "_text") -> DataFr
     return df.withColumn("common", F.array(*counts, F.col("n_words") - F.col("_known"))).drop("_chars", "_upper", "_digit", "_stop", "_known", "_marks")
 
 
-def common_words(rows: DataFrame, key: Column, per_lang: int = COMMON_PER_LANG, docs_per_lang: int = DOCS_PER_LANG) -> list[str]:
+def common_words(rows: DataFrame, key: Column | None = None, per_lang: int = COMMON_PER_LANG) -> list[str]:
     """The words that most documents of a language hold, of all languages together.
 
-    ``rows``: tongue and _text.  They are learned from about ``docs_per_lang`` labelled
-    rows a language, chosen by a hash of ``key`` (all rows of a smaller language);
-    ties go to the smaller word.  At most ``per_lang`` words a language reach the driver.
+    ``rows``: tongue and _text.  They are learned from all labelled rows; ties go to the
+    smaller word.  ``key`` has no part in it.  At most ``per_lang`` words a language reach
+    the driver.
     """
-    labelled = rows.where("tongue <> ''").withColumn("_u", F.pmod(F.xxhash64(key), F.lit(1_000_000)))
-    # Languages with more rows than that, one in docs_per_lang rows at most: texts stay where they are.
-    large = {r["tongue"]: docs_per_lang * 1e6 / r["n"] for r in labelled.groupBy("tongue").agg(F.count("*").alias("n")).where(F.col("n") > docs_per_lang).collect()}
-    share = F.broadcast(rows.sparkSession.createDataFrame(list(large.items()), "tongue string, _part double"))
-    chosen = labelled.join(share, "tongue", "left").where("_part is null or _u < _part")
-    held = chosen.select("tongue", F.explode(F.array_distinct(words_in(F.col("_text")))).alias("word")).groupBy("tongue", "word").agg(F.count("*").alias("n"))
+    labelled = rows.where("tongue <> ''")
+    held = labelled.select("tongue", F.explode(F.array_distinct(words_in(F.col("_text")))).alias("word")).groupBy("tongue", "word").agg(F.count("*").alias("n"))
     # Heads of hash parts first: no task sorts a whole language.
     part = Window.partitionBy("tongue", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")
     whole = Window.partitionBy("tongue").orderBy(F.desc("n"), "word")
@@ -208,7 +204,6 @@ def judge(
     keep: tuple[str, ...] = ("doc_id",),
     text: str = "text",
     lang: str = "lang",
-    key: str = "doc_id",
     min_words: int = 50,
     max_repeat: float = 0.5,
     max_distance: float = 0.25,
@@ -238,8 +233,7 @@ def judge(
     names = [f"_k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(a) for c, a in zip(keep, names)], F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("tongue"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     if common is None:
-        taught = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("tongue"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(key).cast("string").alias("_key"))
-        common = common_words(taught, F.col("_key"))
+        common = common_words(rows.select("tongue", "_text"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     counted = scratch.cut(word_counts(rows, common).withColumn("base_failed", failed))
     beyond = F.greatest(F.coalesce(F.col("word_divergence") - F.col("chance"), F.lit(0.0)), F.lit(0.0))

@@ -462,6 +462,16 @@ def test_common_words_are_learned(spark):
     assert quality.common_words(df.where("false"), F.col("k")) == []
 
 
+def test_common_words_count_every_row_of_a_large_language(spark):
+    """Each word of a pair is in half of the rows, but for one row: no sample tells them apart."""
+    from pyspark.sql import functions as F
+
+    more = lambda j: (F.shiftright("id", j).bitwiseAND(F.lit(1)) == 1) | (F.col("id") == 0)
+    text = F.concat_ws(" ", *[F.when(more(j), f"m{j}").otherwise(f"l{j}") for j in range(8)])
+    rows = spark.range(40_960).select(F.lit("en").alias("tongue"), text.alias("_text"), F.col("id").cast("string").alias("k"))
+    assert quality.common_words(rows, F.col("k"), per_lang=8) == [f"m{j}" for j in range(8)]
+
+
 # -- chat
 
 
