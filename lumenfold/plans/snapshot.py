@@ -8,14 +8,13 @@ is joins and aggregations over one row or a few for each file.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cfg, lattice
-from ..functions.rust_syntax import measure
+from ..functions.rust_syntax import Source, measure
 from ..operators import graph, metrics
 from . import fixpoint
 
@@ -35,6 +34,9 @@ _ARROW = pa.schema(
 TARGET_ROLES = ("production", "test", "bench", "example", "build")
 #: Measured files in a batch: each is under 1 KB and its edges.
 ROWS_AT_ONCE = 1000
+_REACHED = [f"{r}_{h}" for r in TARGET_ROLES for h in "pt"]
+#: Columns that ``contexts`` gives.
+CONTEXT = f"snapshot string, path string, referenced boolean, {', '.join(f'{c} int' for c in _REACHED)}"
 ROLE_ORDER = ("production", "test", "bench", "example", "build", "conditional", "inactive", "orphan")
 
 
@@ -44,21 +46,27 @@ def measured(files: DataFrame, profile: cfg.Profile | None = None, packages: lis
     path gives its profile, and is its manifest folder."""
     plain = profile or cfg.Profile(enabled=None)
 
+    def made(snapshots: list, paths: list, sources: list[Source]) -> pa.RecordBatch:
+        # Sources of one walk share its numbers: each is turned into Arrow once.  A state without any is NULL.
+        own = {id(s.metrics): s.metrics for s in sources}
+        place = {k: i for i, k in enumerate(own)}
+        distinct = [[m if any(m) else None for m in one] for one in own.values()]
+        numbers = pa.array(distinct, _ARROW.field("metrics").type).take(pa.array([place[id(s.metrics)] for s in sources]))
+        edges = [[{"production": e.gate[0], "test": e.gate[1], "candidates": e.candidates, "message": e.message} for e in s.edges] for s in sources]
+        columns = [snapshots, paths, [s.bytes for s in sources], [len(s.errors) for s in sources], [s.errors[0] if s.errors else None for s in sources], numbers, edges]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = sorted(packages, key=lambda p: -len(p[0]))
         seen: dict[str | None, dict] = {}
-        for b in batches:
-            made = []
-            for snapshot, path, content in zip(*(c.to_pylist() for c in b.columns)):
-                own = next(((r, p) for r, p in owners if not r or path == r or path.startswith(r + "/")), (None, plain))
-                s = measure(path, content or b"", own[1], own[0], seen.setdefault(own[0], {}))
-                edges = [{"production": e.gate[0], "test": e.gate[1], "candidates": e.candidates, "message": e.message} for e in s.edges]
-                made.append({"snapshot": snapshot, "path": path, "bytes": s.bytes, "errors": len(s.errors), "first_error": s.errors[0] if s.errors else None, "metrics": s.metrics, "edges": edges})
-                if len(made) == ROWS_AT_ONCE:
-                    yield pa.RecordBatch.from_pylist(made, _ARROW)
-                    made = []
-            if made:
-                yield pa.RecordBatch.from_pylist(made, _ARROW)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                snapshots, paths, contents = (c.to_pylist() for c in whole.slice(at, ROWS_AT_ONCE).columns)
+                sources = []
+                for path, content in zip(paths, contents):
+                    own = next(((r, p) for r, p in owners if not r or path == r or path.startswith(r + "/")), (None, plain)) if owners else (None, plain)
+                    sources.append(measure(path, content or b"", own[1], own[0], seen.setdefault(own[0], {})))
+                yield made(snapshots, paths, sources)
 
     return files.select("snapshot", "path", "content").mapInArrow(run, MEASURED)
 
@@ -90,8 +98,9 @@ def resolved(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Module edges by the first candidate that exists: (src, dst, production, test),
     and those without any: (snapshot, path, production, test, message)."""
     edges = files.select("snapshot", "path", F.posexplode("edges").alias("n", "e")).select("snapshot", "path", "n", "e.*")
-    tried = edges.select("*", F.posexplode_outer("candidates").alias("rank", "target"))
-    there = files.select(F.col("snapshot").alias("_s"), F.col("path").alias("_p"))
+    # Most files have no edge: of all files only those that an edge may lead to are dealt out.
+    tried = fixpoint.cut(edges.select("*", F.posexplode_outer("candidates").alias("rank", "target")))
+    there = files.select(F.col("snapshot").alias("_s"), F.col("path").alias("_p")).join(tried.select(F.col("snapshot").alias("_s"), F.col("target").alias("_p")).distinct(), ["_s", "_p"], "left_semi")
     met = tried.join(there, (F.col("snapshot") == F.col("_s")) & (F.col("target") == F.col("_p")), "left")
     first = met.groupBy("snapshot", "path", "n", "production", "test", "message").agg(F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("rank"))).alias("to"))
     good = first.where("to is not null").select(_node(F.col("snapshot"), F.col("path")).alias("src"), _node(F.col("snapshot"), F.col("to")).alias("dst"), "production", "test").distinct()
@@ -99,12 +108,19 @@ def resolved(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def contexts(files: DataFrame, edges: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """(node, referenced, and <role>_p, <role>_t of each target role).
+    """(snapshot, path, referenced, and <role>_p, <role>_t of each target role) of the files
+    that an edge or a target names.
 
     ``targets``: snapshot, path, role, production, test.  Without targets library and
-    main files are production first, and then whatever nothing refers to."""
+    main files are production first, and then whatever nothing refers to.  ``in_context``
+    has the other files: nothing reaches them, and they reach nothing."""
+    if targets is None and not fixpoint.some(edges):
+        return edges.sparkSession.sql(f"SELECT {', '.join(f'CAST(NULL AS {kind}) AS {c}' for c, kind in map(str.split, CONTEXT.split(', ')))} WHERE false")
     halves = edges.select("src", "dst", F.explode(F.array(F.struct(F.lit("p").alias("half"), F.col("production").alias("gate")), F.struct(F.lit("t").alias("half"), F.col("test").alias("gate")))).alias("h")).select("src", "dst", "h.half", "h.gate")
-    nodes = files.select(_node(F.col("snapshot"), F.col("path")).alias("node"), "path")
+    named = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    if targets is not None:
+        named = named.unionByName(targets.select(_node(F.col("snapshot"), F.col("path")).alias("node")))
+    nodes = fixpoint.cut(files.select(_node(F.col("snapshot"), F.col("path")).alias("node"), "snapshot", "path").join(named.distinct(), "node", "left_semi"))
 
     def seeded(t: DataFrame) -> DataFrame:
         return t.select("node", "role", F.explode(F.array(F.struct(F.lit("p").alias("half"), F.col("production").alias("value")), F.struct(F.lit("t").alias("half"), F.col("test").alias("value")))).alias("h")).select("node", "role", "h.half", "h.value")
@@ -121,7 +137,16 @@ def contexts(files: DataFrame, edges: DataFrame, targets: DataFrame | None) -> D
         seen = graph.reachable(edges, seeds.select("node"))
     values = graph.propagate(halves, seeded(seeds), own=("role",), shared=("half",))
     wide = values.groupBy("node").agg(*[F.coalesce(F.max(F.when((F.col("role") == r) & (F.col("half") == h), F.col("value"))), F.lit(0)).alias(f"{r}_{h}") for r in TARGET_ROLES for h in "pt"])
-    return nodes.select("node").join(wide, "node", "left").join(seen.withColumn("referenced", F.lit(True)), "node", "left").na.fill(0).select("node", F.coalesce("referenced", F.lit(False)).alias("referenced"), *[f"{r}_{h}" for r in TARGET_ROLES for h in "pt"])
+    return fixpoint.cut(nodes.join(wide, "node", "left").join(seen.withColumn("referenced", F.lit(True)), "node", "left").na.fill(0).select("snapshot", "path", F.coalesce("referenced", F.lit(False)).alias("referenced"), *_REACHED))
+
+
+def in_context(rows: DataFrame, ctx: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """``rows`` (snapshot, path, ...) with the columns of ``ctx``.  A file outside of it is
+    no target's; without targets nothing refers to it, so it is production."""
+    own = {"production_p": 2, "production_t": 2} if targets is None else {}
+    kept = [c for c in rows.columns if c not in ("snapshot", "path")]
+    met = rows.join(ctx, ["snapshot", "path"], "left")
+    return met.selectExpr("snapshot", "path", *kept, f"coalesce(referenced, {targets is None}) AS referenced", *[f"coalesce({c}, {own.get(c, 0)}) AS {c}" for c in _REACHED])
 
 
 def role_of(p, t):
@@ -131,13 +156,12 @@ def role_of(p, t):
     return lattice.classify(at("production", "p"), at("example", "p"), tested, at("bench", "t"), at("build", "p"), F.col("referenced"))
 
 
-def by_role(files: DataFrame, ctx: DataFrame) -> DataFrame:
+def by_role(files: DataFrame, ctx: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(snapshot, path, role, files, metrics...): a row for each role that a file has lines in."""
-    own = files.withColumn("node", _node(F.col("snapshot"), F.col("path"))).join(ctx, "node")
-    states = own.select("*", F.posexplode("metrics").alias("state", "m"))
-    flat = states.select("snapshot", "path", role_of(F.floor(F.col("state") / 3).cast("int"), F.col("state") % 3).alias("role"), *[F.col("m")[i].alias(m) for i, m in enumerate(metrics.METRICS)])
-    summed = metrics.buckets(flat, ["snapshot", "path", "role"])
-    return summed.withColumn("files", F.lit(1).cast("long")).where(reduce(lambda a, b: a | b, (F.col(m) > 0 for m in metrics.METRICS)))
+    states = files.select("snapshot", "path", F.posexplode("metrics").alias("state", "m"))
+    states = states.selectExpr("snapshot", "path", "state", *[f"m[{i}] AS {m}" for i, m in enumerate(metrics.METRICS)]).where(" OR ".join(f"{m} > 0" for m in metrics.METRICS))
+    own = in_context(states, ctx, targets).withColumn("role", role_of(F.floor(F.col("state") / 3).cast("int"), F.col("state") % 3))
+    return metrics.buckets(own, ["snapshot", "path", "role"]).withColumn("files", F.lit(1).cast("long"))
 
 
 def report(files: DataFrame, targets: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -149,37 +173,40 @@ def report(files: DataFrame, targets: DataFrame | None = None) -> dict[str, Data
     """
     files = fixpoint.cut(files)
     edges, lost = resolved(files)
-    ctx = fixpoint.cut(contexts(files, fixpoint.cut(edges), targets))
+    ctx = contexts(files, fixpoint.cut(edges), targets)
     if "found" in files.columns:
         inner, files = files, files.where("not found").drop("found")
         there = files.select("snapshot", "path")
         lost = lost.join(there, ["snapshot", "path"], "left_semi")
-        roles = fixpoint.cut(by_role(inner, ctx).join(there, ["snapshot", "path"], "left_semi"))
+        roles = fixpoint.cut(by_role(inner, ctx, targets).join(there, ["snapshot", "path"], "left_semi"))
     else:
-        roles = fixpoint.cut(by_role(files, ctx))
+        roles = fixpoint.cut(by_role(files, ctx, targets))
     project = roles.groupBy("snapshot", "role").agg(*[F.sum(m).cast("long").alias(m) for m in ("files", *metrics.METRICS)])
     total = files.groupBy("snapshot").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum("errors").cast("long").alias("syntax_errors"))
     sums = roles.groupBy("snapshot").agg(*[F.sum(m).cast("long").alias(m) for m in metrics.METRICS])
     syntax = files.where("errors > 0").select("snapshot", "path", F.concat(F.col("errors").cast("string"), F.lit(" syntax error(s); first: "), F.col("first_error")).alias("message"))
-    gone = lost.withColumn("node", _node(F.col("snapshot"), F.col("path"))).join(ctx, "node").withColumn("role", role_of(F.col("production"), F.col("test"))).where(~F.col("role").isin("inactive", "orphan"))
+    gone = in_context(lost, ctx, targets).withColumn("role", role_of(F.col("production"), F.col("test"))).where(~F.col("role").isin("inactive", "orphan"))
     return {"files": files, "roles": roles, "project": project, "total": total.join(sums, "snapshot", "left").na.fill(0), "diagnostics": syntax.unionByName(gone.select("snapshot", "path", "message")).dropDuplicates()}
 
 
-def compared(roles: DataFrame, before: str = "before", after: str = "after") -> dict[str, DataFrame]:
+def compared(roles: DataFrame, before: str = "before", after: str = "after", reported: bool = False) -> dict[str, DataFrame]:
     """Two snapshots of one ``report``: changed files, roles and the summary.  A file stands
-    once in each role of its snapshot, or the sides can't be compared."""
+    once in each role of its snapshot, or the sides can't be compared.  ``reported``: the
+    rows are as ``report`` gives them, grouped by these keys, and aren't looked at for it."""
     from ..operators import compare
 
-    compare.unique(roles, ["snapshot", "path", "role"])
-    code = [F.sum(F.when(F.col("role") == r, F.col("code")).otherwise(0)).cast("long").alias(f"{r}_code") for r in ("production", "test")]
-    files = roles.groupBy("snapshot", "path").agg(*[F.sum(m).cast("long").alias(m) for m in metrics.METRICS], *code)
-    files = files.withColumn("other_code", compare.other_lines(F.col("code"), F.col("production_code"), F.col("test_code")))
-    names = [*metrics.METRICS, "production_code", "test_code", "other_code"]
-    side = lambda df, s: df.where(F.col("snapshot") == s).drop("snapshot")
-    changed = compare.compare(side(files, before), side(files, after), ["path"], names)
-    dimension = roles.sparkSession.createDataFrame([(r,) for r in ROLE_ORDER], "role string")
-    fold = lambda s: dimension.join(side(roles, s).groupBy("role").agg(*[F.sum(m).cast("long").alias(m) for m in ("files", *metrics.METRICS)]), "role", "left").na.fill(0)
-    b, a = fold(before), fold(after)
-    merged = b.select("role", *[F.col(m).alias(f"_b_{m}") for m in ("files", *metrics.METRICS)]).join(a.select("role", *[F.col(m).alias(f"_a_{m}") for m in ("files", *metrics.METRICS)]), "role")
-    by = merged.select("role", *[c for m in ("files", *metrics.METRICS) for c in compare.change(F.col(f"_b_{m}"), F.col(f"_a_{m}"), m)])
-    return {"files": changed, "roles": by, "summary": compare.summary(side(files, before), side(files, after), names), "contributors": compare.contributors(changed, ["production_code", "test_code", "other_code"], list(metrics.METRICS), "path")}
+    if not reported:
+        compare.unique(roles, ["snapshot", "path", "role"])
+    names, counted = [*metrics.METRICS, "production_code", "test_code", "other_code"], ["files", *metrics.METRICS]
+    # Both sides in one aggregation; a side that a key isn't in is NULL.
+    sides = roles.withColumn("_side", F.when(F.col("snapshot") == before, "b").when(F.col("snapshot") == after, "a"))
+    own = lambda s, m: f"CAST(sum(CASE WHEN _side = '{s}' THEN {m} END) AS BIGINT) AS _{s}_{m}"
+    code = [f"CAST(sum(CASE WHEN _side = '{s}' THEN CASE WHEN role = '{r}' THEN code ELSE 0 END END) AS BIGINT) AS _{s}_{r}_code" for s in "ba" for r in ("production", "test")]
+    files = sides.groupBy("path").agg(*map(F.expr, [*[own(s, m) for s in "ba" for m in metrics.METRICS], *code, *[f"bool_or(CASE WHEN _side = '{s}' THEN true END) AS _{s}" for s in "ba"]]))
+    for s in "ba":
+        files = files.withColumn(f"_{s}_other_code", F.when(F.col(f"_{s}"), compare.other_lines(F.col(f"_{s}_code"), F.col(f"_{s}_production_code"), F.col(f"_{s}_test_code"))))
+    changed = compare.changed(files, ["path"], names)
+    dimension = roles.sparkSession.sql(f"SELECT explode(array({', '.join(f"'{r}'" for r in ROLE_ORDER)})) AS role")
+    folded = sides.groupBy("role").agg(*[F.expr(own(s, m)) for s in "ba" for m in counted])
+    by = dimension.join(folded, "role", "left").na.fill(0).selectExpr("role", *[c for m in counted for c in compare.change(f"_b_{m}", f"_a_{m}", m)])
+    return {"files": changed, "roles": by, "summary": compare.summed(files, names), "contributors": compare.contributors(changed, ["production_code", "test_code", "other_code"], list(metrics.METRICS), "path")}

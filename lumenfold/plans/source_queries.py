@@ -182,7 +182,7 @@ def _compared(spark, sf_dir) -> dict[str, DataFrame]:
     rows = _parts(spark, sf_dir)
     before = rows.where("p_partkey % 10 <> 0").select(*_file(_part_path(), _part_source(F.col("p_size") % 4), "before"))
     after = rows.where("p_partkey % 7 <> 0").select(*_file(_part_path(), _part_source(F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") % 5).otherwise(F.col("p_size") % 4))))
-    return snapshot.compared(snapshot.report(snapshot.measured(before.unionByName(after)))["roles"])
+    return snapshot.compared(snapshot.report(snapshot.measured(before.unionByName(after)))["roles"], reported=True)
 
 
 _SIDES = f"""

@@ -210,3 +210,35 @@ def test_sources_are_measured_by_all_cores_and_leave_in_few_batches(spark, monke
     n = 2 * snapshot.ROWS_AT_ONCE + 5
     batch = pa.RecordBatch.from_pylist([{"snapshot": "after", "path": f"{i}.rs", "content": b"fn f() {}\n"} for i in range(n)])
     assert [b.num_rows for b in taken[0](iter([batch]))] == [snapshot.ROWS_AT_ONCE, snapshot.ROWS_AT_ONCE, 5]
+
+
+def test_files_without_edges_take_no_part_in_the_graph(spark, monkeypatch):
+    """Reports of sources without modules ran rounds over all files; two sides were grouped and joined."""
+    from lumenfold.operators import graph
+
+    ran = []
+    monkeypatch.setattr(graph, "reachable", lambda *a, one=graph.reachable, **k: ran.append(a) or one(*a, **k))
+    sources = {f"d{i}/x.rs": f"// {i}\nfn f() {{}}\n#[cfg(test)]\nfn t() {{}}\n" for i in range(5)}
+    alone = snapshot.report(snapshot.measured(frame(spark, sources, "before").unionByName(frame(spark, dict(list(sources.items())[1:])))))
+    assert not ran
+    assert {(r.snapshot, r.role): (r.files, r.code) for r in alone["project"].collect()} == {("before", "production"): (5, 5), ("before", "test"): (5, 10), ("after", "production"): (4, 4), ("after", "test"): (4, 8)}
+    out = snapshot.compared(alone["roles"], reported=True)
+    plan = out["files"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+    assert [(r.path, r.status, r.before_code, r.after_code, r.delta_test_code) for r in out["files"].collect()] == [("d0/x.rs", "deleted", 3, 0, -2)]
+    assert {r.role: (r.before_files, r.after_code) for r in out["roles"].collect() if r.before_files} == {"production": (5, 4), "test": (5, 8)}
+    # One file with an edge: the graph has that file and where it leads, and the others stay as they are.
+    some = snapshot.measured(frame(spark, {**sources, "lib.rs": "#[cfg(test)]\nmod m;\n", "m.rs": "fn m() {}\n"}))
+    roles = {(r.path, r.role): r.code for r in snapshot.report(some)["roles"].collect()}
+    assert ran and roles["m.rs", "test"] == 1 and ("m.rs", "production") not in roles and roles["d0/x.rs", "production"] == 1 and len(roles) == 12
+
+
+def test_what_comments_say_is_left_out_without_tokens():
+    import itertools
+
+    from lumenfold.functions.rust_lexer import plain, said
+
+    by_tokens = lambda texts: "".join([x if x[:2] != "//" else "//!" if x[2:3] == "!" else "///" if x[2:3] == "/" and x[3:4] != "/" else "//" for x in texts])
+    for s in map("".join, itertools.product(('"', "'", "/", "//", "\\", "\n", "b", "r#", "!", "a", "/*"), repeat=5)):
+        texts = plain(s)
+        assert said(s) == (None if texts is None else by_tokens(texts)), s
