@@ -242,3 +242,12 @@ def test_what_comments_say_is_left_out_without_tokens():
     for s in map("".join, itertools.product(('"', "'", "/", "//", "\\", "\n", "b", "r#", "!", "a", "/*"), repeat=5)):
         texts = plain(s)
         assert said(s) == (None if texts is None else by_tokens(texts)), s
+
+
+def test_changes_of_roles_come_from_one_aggregation(spark):
+    """Each side was summed by itself and the sums were joined."""
+    sources = {f"d{i}/x.rs": "fn f() {}\n" for i in range(3)}
+    out = snapshot.compared(snapshot.report(snapshot.measured(frame(spark, sources, "before").unionByName(frame(spark, FILES))))["roles"], reported=True)["roles"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+    assert {r.role: (r.before_code, r.after_code) for r in out.collect() if r.before_code or r.after_code} == {"production": (3, 5), "test": (0, 7)}
