@@ -251,3 +251,28 @@ def test_changes_of_roles_come_from_one_aggregation(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
     assert {r.role: (r.before_code, r.after_code) for r in out.collect() if r.before_code or r.after_code} == {"production": (3, 5), "test": (0, 7)}
+
+
+def test_documents_of_snapshots_hold_files_as_rows(spark):
+    """Rows of all files were fetched, sorted and put together on the driver."""
+    import json
+
+    from lumenfold.plans import render
+
+    made = snapshot.report(snapshot.measured(frame(spark, {**FILES, "src/b é.rs": "fn f( {\n", "src-x.rs": "\n" * 1234})))
+    parts, text = render.snapshot_document(made), render.snapshot_text(made, files=True)
+    assert [isinstance(p, str) for p in parts] == [True, False, True, False, True] and [isinstance(p, str) for p in text] == [True, False]
+    whole = render.snapshot_json(made)
+    doc = json.loads(whole)
+    assert json.dumps(doc, ensure_ascii=False) + "\n" == whole
+    assert list(doc)[-2:] == ["diagnostics", "files"] and [f["path"] for f in doc["files"]] == sorted([*FILES, "src/b é.rs", "src-x.rs"], key=lambda p: p.split("/"))
+    assert {d["path"] for d in doc["diagnostics"]} == {"src/lib.rs", "src/b é.rs"}
+    [a] = [f for f in doc["files"] if f["path"] == "src/lib.rs"]
+    assert [(b["role"], b["code"]) for b in a["buckets"]] == [("production", 3), ("test", 2)]
+    shown = render.snapshot_table(made, files=True)
+    rows = [["file", "production", "test", "other", "public"]]
+    for f in doc["files"]:
+        code = {b["role"]: b["code"] for b in f["buckets"]}
+        rows.append([f["path"], code.get("production", 0), code.get("test", 0), sum(code.values()) - code.get("production", 0) - code.get("test", 0), sum(b["declared_public"] for b in f["buckets"] if b["role"] == "production")])
+    rows = [r for r in rows if r[0] == "file" or any(f["path"] == r[0] and f["buckets"] for f in doc["files"])]
+    assert shown.split("\n\n")[1] == render._table(rows[0], rows[1:])
