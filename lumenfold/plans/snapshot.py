@@ -189,10 +189,11 @@ def report(files: DataFrame, targets: DataFrame | None = None) -> dict[str, Data
     return {"files": files, "roles": roles, "project": project, "total": total.join(sums, "snapshot", "left").na.fill(0), "diagnostics": syntax.unionByName(gone.select("snapshot", "path", "message")).dropDuplicates()}
 
 
-def compared(roles: DataFrame, before: str = "before", after: str = "after", reported: bool = False) -> dict[str, DataFrame]:
+def compared(roles: DataFrame, before: str = "before", after: str = "after", reported: bool = False, written: bool = False) -> dict[str, DataFrame]:
     """Two snapshots of one ``report``: changed files, roles and the summary.  A file stands
     once in each role of its snapshot, or the sides can't be compared.  ``reported``: the
-    rows are as ``report`` gives them, grouped by these keys, and aren't looked at for it."""
+    rows are as ``report`` gives them, grouped by these keys, and aren't looked at for it.
+    ``written``: several of the tables will be read, so both sides of each file are a table."""
     from ..operators import compare
 
     if not reported:
@@ -205,6 +206,7 @@ def compared(roles: DataFrame, before: str = "before", after: str = "after", rep
     files = sides.groupBy("path").agg(*map(F.expr, [*[own(s, m) for s in "ba" for m in metrics.METRICS], *code, *[f"bool_or(CASE WHEN _side = '{s}' THEN true END) AS _{s}" for s in "ba"]]))
     for s in "ba":
         files = files.withColumn(f"_{s}_other_code", F.when(F.col(f"_{s}"), compare.other_lines(F.col(f"_{s}_code"), F.col(f"_{s}_production_code"), F.col(f"_{s}_test_code"))))
+    files = fixpoint.cut(files) if written else files
     changed = compare.changed(files, ["path"], names)
     dimension = roles.sparkSession.sql(f"SELECT explode(array({', '.join(f"'{r}'" for r in ROLE_ORDER)})) AS role")
     folded = sides.groupBy("role").agg(*[F.expr(own(s, m)) for s in "ba" for m in counted])

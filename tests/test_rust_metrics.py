@@ -276,3 +276,20 @@ def test_documents_of_snapshots_hold_files_as_rows(spark):
         rows.append([f["path"], code.get("production", 0), code.get("test", 0), sum(code.values()) - code.get("production", 0) - code.get("test", 0), sum(b["declared_public"] for b in f["buckets"] if b["role"] == "production")])
     rows = [r for r in rows if r[0] == "file" or any(f["path"] == r[0] and f["buckets"] for f in doc["files"])]
     assert shown.split("\n\n")[1] == render._table(rows[0], rows[1:])
+
+
+def test_documents_of_comparisons_hold_files_as_rows(spark):
+    import json
+
+    from lumenfold.plans import render
+
+    both = snapshot.measured(frame(spark, FILES, "before").unionByName(frame(spark, {**FILES, "src/a.rs": "fn a() {}\n", "src/new.rs": "fn n() {}\n"})))
+    out = snapshot.compared(snapshot.report(both)["roles"], reported=True, written=True)
+    parts = render.comparison_document(out)
+    assert [isinstance(p, str) for p in parts] == [True, False, True]
+    whole = render.comparison_json(out)
+    doc = json.loads(whole)
+    assert json.dumps(doc, ensure_ascii=False) + "\n" == whole
+    assert [(f["path"], f["status"], f["comments"]["delta"]) for f in doc["files"]] == [("src/a.rs", "modified", -1), ("src/new.rs", "added", 0)]
+    assert doc["summary"]["comments"] == {"before": 1, "after": 0, "delta": -1, "percent": -100.0}
+    assert "files" not in json.loads(render.comparison_json(out, summary_only=True))
