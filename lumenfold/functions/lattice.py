@@ -46,3 +46,11 @@ def classify(production: Column, example: Column, test: Column, bench: Column, b
     for name, value in reversed(list(zip(ROLES, (production, example, test, bench, build)))):
         out = F.when(value == ALWAYS, F.lit(name)).when(value == MAYBE, F.lit("conditional")).otherwise(out)
     return out
+
+
+def classify_sql(production: str, example: str, test: str, bench: str, build: str, referenced: str) -> str:
+    """``classify`` as SQL: each operation on a column takes its time on the driver."""
+    out = f"CASE WHEN {referenced} THEN 'inactive' ELSE 'orphan' END"
+    for name, value in reversed(list(zip(ROLES, (production, example, test, bench, build)))):
+        out = f"CASE WHEN {value} = {ALWAYS} THEN '{name}' WHEN {value} = {MAYBE} THEN 'conditional' ELSE {out} END"
+    return out

@@ -25,8 +25,8 @@ def _lines(*lines: str | Column) -> Column:
     return F.concat(*[F.lit(x + "\n") if isinstance(x, str) else x for x in lines])
 
 
-def _file(path: Column, text: Column, side: str = "after") -> list[Column]:
-    return [F.lit(side).alias("snapshot"), path.alias("path"), text.cast("binary").alias("content")]
+def _file(path: Column, text: Column, side: str | Column = "after") -> list[Column]:
+    return [(F.lit(side) if isinstance(side, str) else side).alias("snapshot"), path.alias("path"), text.cast("binary").alias("content")]
 
 
 def _part_source(n: Column) -> Column:
@@ -178,11 +178,17 @@ def q30_predicates(spark, sf_dir):
     return snapshot.measured(files, profile).select(F.col("path").cast("bigint").alias("s_suppkey"), F.floor(at / 3).cast("int").alias("production"), (at % 3).cast("int").alias("test"))
 
 
+def _sides(spark, sf_dir) -> DataFrame:
+    """The states of both snapshots' sources, each part dealt out once for both."""
+    k, n = F.col("p_partkey"), F.col("p_size") % 4
+    sides = {"before": (k % 10 != 0, n), "after": (k % 7 != 0, F.when(k % 3 == 0, F.col("p_size") % 5).otherwise(n))}
+    own = F.array_compact(F.array(*[F.when(there, F.struct(F.lit(side).alias("side"), branches.alias("n"))) for side, (there, branches) in sides.items()]))
+    rows = _parts(spark, sf_dir).select("p_partkey", F.inline(own))
+    return snapshot.placed(snapshot.measured(rows.select(*_file(_part_path(), _part_source(F.col("n")), F.col("side")))))[1]
+
+
 def _compared(spark, sf_dir, written: bool = False) -> dict[str, DataFrame]:
-    rows = _parts(spark, sf_dir)
-    before = rows.where("p_partkey % 10 <> 0").select(*_file(_part_path(), _part_source(F.col("p_size") % 4), "before"))
-    after = rows.where("p_partkey % 7 <> 0").select(*_file(_part_path(), _part_source(F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") % 5).otherwise(F.col("p_size") % 4))))
-    return snapshot.compared(snapshot.report(snapshot.measured(before.unionByName(after)))["roles"], reported=True, written=written)
+    return snapshot.compared(_sides(spark, sf_dir), reported=True, written=written)
 
 
 _SIDES = f"""
@@ -211,7 +217,7 @@ a AS (SELECT role, {', '.join(f'CAST(coalesce(sum({m}), 0) AS BIGINT) AS {m}' fo
 SELECT role, {_changes(_PER_ROLE, 'b.{}', 'a.{}')} FROM b JOIN a USING (role)""")
 def q32_changed_roles(spark, sf_dir):
     """Changes of all eight roles, zeros filled."""
-    return _compared(spark, sf_dir)["roles"]
+    return snapshot.changed_roles(_sides(spark, sf_dir))
 
 
 def _rendered(spark, rows: list[tuple], schema: str) -> DataFrame:

@@ -253,6 +253,60 @@ def test_changes_of_roles_come_from_one_aggregation(spark):
     assert {r.role: (r.before_code, r.after_code) for r in out.collect() if r.before_code or r.after_code} == {"production": (3, 5), "test": (0, 7)}
 
 
+def test_roles_of_two_snapshots_need_one_table(spark, monkeypatch):
+    """Files' roles were grouped by file and written before they were summed, and edges that
+    weren't there were written and joined."""
+    from lumenfold.plans import fixpoint, source_queries
+
+    tables = []
+    monkeypatch.setattr(fixpoint, "cut", lambda df, one=fixpoint.cut: tables.append(df.columns) or one(df))
+    out = source_queries.q32_changed_roles(spark, "/root/testdata/sf0.001")
+    assert len(tables) == 1
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    files = tuple(parts.where(f"p_partkey % {n} <> 0").count() for n in (10, 7))
+    assert {r.role: (r.before_files, r.after_files) for r in out.collect() if r.before_files or r.after_files} == {"production": files, "test": files}
+
+
+def test_states_sum_to_the_roles_of_files(spark):
+    """Two states of a file may have one role: its file counts once."""
+    from pyspark.sql import functions as F
+
+    sources = {**FILES, "src/maybe.rs": "#[cfg(custom)]\nfn a() {}\n#[cfg(all(custom, test))]\nfn b() {}\nfn c() {}\n#[cfg(any())]\nfn d() {}\n", "src/empty.rs": ""}
+    targets = spark.createDataFrame([("after", p, r, 2, t) for p, r, t in (("src/lib.rs", "production", 2), ("build.rs", "build", 0), ("src/maybe.rs", "example", 1))], "snapshot string, path string, role string, production int, test int")
+    profile = snapshot.cfg.Profile(enabled=None)
+    for given in (None, targets):
+        _, states, _ = snapshot.placed(snapshot.measured(frame(spark, sources), profile), given)
+        roles = snapshot.by_role(states)
+        sums = [F.sum(m).alias(m) for m in ("files", *snapshot.metrics.METRICS)]
+        shown = lambda df, *keys: sorted(map(tuple, df.groupBy(*keys).agg(*sums).collect()))
+        assert shown(states, "role") == shown(roles, "role") and shown(states, "path", "role") == shown(roles, "path", "role")
+        assert states.count() > roles.count() == states.where("files = 1").count()
+        assert "Aggregate" not in states._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_roles_as_sql(spark):
+    from pyspark.sql import functions as F
+
+    from lumenfold.functions import lattice
+
+    names = ("production", "example", "test", "bench", "build")
+    rows = spark.range(2 * 3**5).selectExpr(*[f"CAST(id DIV {3**i} % 3 AS INT) AS {n}" for i, n in enumerate(names)], f"id DIV {3**5} = 1 AS referenced")
+    both = rows.select(lattice.classify(*map(F.col, (*names, "referenced"))).alias("a"), F.expr(lattice.classify_sql(*names, "referenced")).alias("b"))
+    assert both.where("a <=> b").count() == 2 * 3**5
+    # Values in the place of columns give the same roles.
+    at = rows.selectExpr(*[f"{n} AS {n}_p" for n in names], *[f"{n} AS {n}_t" for n in names], "referenced").crossJoin(spark.range(9).selectExpr("CAST(id DIV 3 AS INT) AS p", "CAST(id % 3 AS INT) AS t"))
+    told = " ".join(f"WHEN p = {i // 3} AND t = {i % 3} THEN {snapshot.role_of(i // 3, i % 3)}" for i in range(9))
+    assert at.where(f"({snapshot.role_of('p', 't')}) <=> (CASE {told} END)").count() == 9 * 2 * 3**5
+
+
+def test_sources_of_one_walk_keep_their_own_bytes(spark):
+    rows = [("after", f"{i}.rs", text) for i, text in enumerate((b"// a\nfn f() {}\n", b"// other\nfn f() {}\n", None, b"", b"\xff\n", "// é\nfn f() {}\n".encode(), b"mod m;\n"))]
+    got = snapshot.measured(spark.createDataFrame(rows, tree.SCHEMA)).orderBy("path").collect()
+    assert [r.bytes for r in got] == [len(text or b"") for _, _, text in rows]
+    assert got[0].metrics == got[1].metrics == got[5].metrics and [len(r.edges) for r in got] == [0] * 6 + [1]
+    assert [(r.errors, r.first_error) for r in got if r.errors] == [(1, "source is not valid UTF-8")]
+
+
 def test_documents_of_snapshots_hold_files_as_rows(spark):
     """Rows of all files were fetched, sorted and put together on the driver."""
     import json
